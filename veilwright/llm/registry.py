@@ -1,7 +1,7 @@
 """All queries of the corpus operators and the SQL that states their results."""
 
-from veilwright.llm import bpe, decontamination, line_dedup, near_dedup, quality_rules, sharding
+from veilwright.llm import bpe, chat_format, decontamination, line_dedup, near_dedup, quality_rules, sharding
 
-MODULES = [bpe, near_dedup, quality_rules, sharding, decontamination, line_dedup]
+MODULES = [bpe, near_dedup, quality_rules, sharding, decontamination, line_dedup, chat_format]
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 SQL = {name: sql for m in MODULES for name, sql in m.SQL.items()}
