@@ -70,7 +70,11 @@ def _finish(frame: DataFrame, n_words: Column, hits: str, keep: list[str]) -> Da
     spans = F.sort_array(F.transform(hits, lambda h: F.struct(h["from"].alias("from"), h["to"].alias("to"))))
     found = F.sort_array(F.array_distinct(F.flatten(F.transform(hits, lambda h: h["items"]))))
     none = F.size(hits) == 0
-    out = frame.select(*keep, n_words.alias("n_words"), F.when(none, F.lit(0).cast("long")).otherwise(_cover(spans)).alias("n_hit"), F.when(none, F.array().cast("array<string>")).otherwise(found).alias("item_ids"), F.when(none, F.array().cast("array<struct<from:int,to:int>>")).otherwise(spans).alias("spans"))
+    n_hit = F.when(none, F.lit(0).cast("long")).otherwise(_cover(spans))
+    ids = F.when(none, F.array().cast("array<string>")).otherwise(found)
+    places = F.when(none, F.array().cast("array<struct<from:int,to:int>>")).otherwise(spans)
+    # a generator, so that a filter on the result doesn't repeat all this in its condition
+    out = frame.select(*keep, F.inline(F.array(F.struct(n_words.alias("n_words"), n_hit.alias("n_hit"), ids.alias("item_ids"), places.alias("spans")))))
     return out.withColumn("contaminated", F.col("n_hit") > 0)
 
 
