@@ -9,8 +9,8 @@ LEAST of K retained values (80 % of the set where the sketches are complete; oth
 have a probability of 1e-8), so that it is enough to list each class under its rarest values,
 all but LEAST - 1 of them. A value that is frequent because a passage is repeated in many
 documents is listed only where little else is in the text. In each list all classes are
-compared with its first one; what is then still in another component than others of its list is
-compared with all of those, which leaves nothing out and seldom has anything to do. The sketch
+compared with the one that has most copies. Pairs of other components in a list follow, but for
+those that the triangle inequality of 1 - Jaccard parts; each pair in one list only. The sketch
 of the union of a pair estimates its Jaccard and drops what is far below; the rest is decided on
 the full sets. Links become components by alternating large and small stars.
 
@@ -34,6 +34,8 @@ LEAST = 30
 #: Estimates this far below the threshold are never confirmed: over six standard deviations.
 MARGIN = 0.31
 SEEN_WORDS = 400_000
+#: Classes up to which their ids are sent to all tasks to find their texts (16 bytes each).
+MAX_BROADCAST = 200_000
 #: Odd factors of the places in a shingle.
 FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)
 
@@ -102,13 +104,15 @@ def _needed(n: Column) -> Column:
 
 
 def _lists(sets: DataFrame) -> DataFrame:
-    """value, set_id, n: each class under its rarest retained values, those of no other class aside."""
-    every = sets.select("set_id", F.col("n_shingles").alias("n"), F.explode("sketch").alias("value"))
+    """value, set_id: each class under its rarest retained values, those of no other class aside."""
+    every = sets.select("set_id", F.explode("sketch").alias("value"))
     shared = every.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1")
-    mine = every.join(shared, "value").groupBy("set_id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("v"))
+    mine = every.join(shared, "value").groupBy("set_id").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("v"))
+    mine = mine.join(sets.select("set_id", F.col("n_shingles").alias("n")), "set_id")
     size = F.least(F.col("n"), F.lit(K)).cast("int")
     room = size - _needed(F.col("n")) + 1 - (size - F.size("v"))
-    return mine.withColumn("room", room).filter("room > 0").select("set_id", "n", F.explode(F.transform(F.slice("v", 1, F.col("room")), lambda x: x["value"])).alias("value"))
+    rare = mine.withColumn("room", room).filter("room > 0").select("set_id", F.transform(F.slice("v", 1, F.greatest(F.col("room"), F.lit(0))), lambda x: x["value"]).alias("values"))
+    return rare.select("set_id", F.explode("values").alias("value"))
 
 
 def _estimate(a: str, b: str) -> Column:
@@ -118,8 +122,8 @@ def _estimate(a: str, b: str) -> Column:
     return F.size(both) / F.size(union)
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have the Jaccard; texts: set_id, body."""
+def _compared(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """a, b, jaccard and linked for the pairs (a, b), from the full sets; texts: set_id, body."""
     of = lambda k: texts.select(F.col("set_id").alias(k), F.col("body").alias(f"body_{k}"))
     both = pairs.select("a", "b").join(of("b"), "b").join(of("a"), "a")
 
@@ -129,17 +133,28 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) ->
         last_id, last = None, None
         for batch in batches:
             a, b, ta, tb = (batch.column(batch.schema.get_field_index(c)) for c in ("a", "b", "body_a", "body_b"))
-            kept = []
+            near, linked = [], []
             for i, key in enumerate(a.to_pylist()):
                 if key != last_id:
                     last_id, last = key, shingle(ta[i].as_py())
                 other = shingle(tb[i].as_py())
                 shared = len(np.intersect1d(last, other, assume_unique=True))
-                if 100 * shared >= percent * (len(last) + len(other) - shared):
-                    kept.append(i)
-            yield pa.RecordBatch.from_arrays([a.take(pa.array(kept, pa.int64())), b.take(pa.array(kept, pa.int64()))], names=["a", "b"])
+                union = len(last) + len(other) - shared
+                near.append(shared / union)
+                linked.append(100 * shared >= percent * union)
+            yield pa.RecordBatch.from_arrays([a, b, pa.array(near, pa.float64()), pa.array(linked, pa.bool_())], names=["a", "b", "jaccard", "linked"])
 
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(run, "a long, b long, jaccard double, linked boolean")
+
+
+def _texts(base: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """set_id, body: a text of each wanted class (set_id, least)."""
+    wanted = wanted.select(F.col("set_id").alias("_wanted"), F.col("least").alias("_least"))
+    if wanted.count() <= MAX_BROADCAST:
+        wanted = F.broadcast(wanted)
+    found = base.join(wanted, F.col("_id").eqNullSafe(F.col("_least")), "inner").select("_wanted", "_text", F.col("_text").alias("body"))
+    # an id may stand on rows of several texts
+    return sketched(found, "_text", words).filter("set_id = _wanted").select("set_id", "body").dropDuplicates(["set_id"])
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -163,46 +178,50 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80, keep: list[str] | None = None) -> DataFrame:
-    """The columns `keep` (all but none of those added, if None) of each row with n_shingles, component_id and kept.
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, set_id, n_shingles, component_id and kept for each row.
 
-    kept: the row's id is its component's id. Words: texts without ASCII white space, A-Z in
-    lower case.
+    kept: the row's id is its component's id. Words: what ASCII white space parts, A-Z in lower
+    case. Rows of one id may have different texts, and so different sets and components.
     """
     if percent < 80:
         raise ValueError("the candidates are complete for a similarity of 80 percent or more")
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("n_shingles", "component_id", "kept")]
     base = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
     rows = cut(sketched(base, "_text", words))
-    sets = cut(rows.filter("set_id IS NOT NULL").groupBy("set_id").agg(F.min("_id").alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")))
+    sets = cut(rows.filter("set_id IS NOT NULL").groupBy("set_id").agg(F.min("_id").alias("least"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")))
     lists = cut(_lists(sets))
-    sketches = lambda k: sets.select(F.col("set_id").alias(k), F.col("n_shingles").alias(f"n_{k}"), F.col("sketch").alias(f"s_{k}"))
-    low, high = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
-    likely = (100 * low >= percent * high) & (_estimate("s_a", "s_b") >= percent / 100 - MARGIN)
-
-    def texts(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct().join(sets.select("set_id", "least"), "set_id")
-        found = base.join(wanted.withColumnRenamed("least", "_least"), F.col("_id").eqNullSafe(F.col("_least")), "inner").select("_text", F.col("set_id").alias("_wanted"))
-        # an id may stand on rows of several texts
-        found = sketched(found.withColumn("body", F.col("_text")), "_text", words).filter("set_id = _wanted")
-        return found.select("set_id", "body").dropDuplicates(["set_id"])
-
-    # each class of a list with the list's first
-    first = lists.groupBy("value").agg(F.min("set_id").alias("a"), F.count("*").alias("m")).filter("m > 1")
-    pairs = lists.join(first, "value").filter("set_id <> a").select("a", F.col("set_id").alias("b")).distinct()
-    pairs = cut(pairs.join(sketches("b"), "b").join(sketches("a"), "a").filter(likely).select("a", "b"))
-    links = cut(_confirmed(pairs, texts(pairs), words, percent))
+    members = cut(lists.groupBy("set_id").agg(F.sort_array(F.collect_list("value")).alias("values")).join(sets, "set_id"))
+    texts = cut(_texts(base, members.select("set_id", "least"), words))
+    sketches = lambda k: members.select(F.col("set_id").alias(k), F.col("n_shingles").alias(f"n_{k}"), F.col("sketch").alias(f"s_{k}"))
+    similar = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        """a, b, low and high (bounds of the Jaccard) and linked."""
+        guessed = pairs.join(sketches("b"), "b").join(sketches("a"), "a").select("a", "b", F.when(similar, _estimate("s_a", "s_b") + MARGIN).otherwise(F.least("n_a", "n_b") / F.greatest("n_a", "n_b")).alias("high"))
+        guessed = cut(guessed)
+        sure = _compared(guessed.filter(F.col("high") >= percent / 100), texts, words, percent)
+        return cut(guessed.join(sure, ["a", "b"], "left").select("a", "b", F.coalesce("jaccard", F.lit(0.0)).alias("low"), F.coalesce("jaccard", "high").alias("high"), F.coalesce("linked", F.lit(False)).alias("linked")))
+
+    # each class of a list with the list's leader, which is the one with most copies
+    sized = lists.join(members.select("set_id", "copies"), "set_id")
+    leader = cut(sized.groupBy("value").agg(F.max_by("set_id", F.struct("copies", "set_id")).alias("a"), F.count("*").alias("m")).filter("m > 1").select("value", "a"))
+    star = compared(lists.join(leader, "value").filter("set_id <> a").select("a", F.col("set_id").alias("b")).distinct())
+    links = star.filter("linked").select("a", "b")
     roots = cut(components(links))
 
-    # lists that still hold more than one component
-    held = lists.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+    # lists that still hold more than one component: what the leader's Jaccards don't part is compared
+    held = lists.join(leader, "value").join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+    held = cut(held)
     mixed = held.groupBy("value").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("value")
-    left = held.join(mixed, "value").join(sets.select("set_id", "sketch"), "set_id")
-    side = lambda k: left.select("value", F.col("set_id").alias(k), F.col("n").alias(f"n_{k}"), F.col("root").alias(f"r_{k}"), F.col("sketch").alias(f"s_{k}"))
-    more = side("a").join(side("b"), "value").filter((F.col("a") < F.col("b")) & (F.col("r_a") != F.col("r_b")) & likely).select("a", "b").distinct()
-    more = cut(more.join(pairs, ["a", "b"], "left_anti"))
+    left = held.join(mixed, "value").filter("set_id <> a").join(star.select("a", F.col("b").alias("set_id"), "low", "high"), ["a", "set_id"]).join(members.select("set_id", "n_shingles", "values"), "set_id")
+    side = lambda k: left.select("value", *(F.col(c).alias(f"{c}_{k}") for c in ("low", "high", "root", "values")), F.col("set_id").alias(k), F.col("n_shingles").alias(f"n_{k}"))
+    # 1 - Jaccard is a metric; a pair is made in the first list that both are in
+    apart = 1 - percent / 100 + 1e-9
+    meets = (F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & similar & (F.col("low_a") - F.col("high_b") <= apart) & (F.col("low_b") - F.col("high_a") <= apart)
+    more = side("a").join(side("b"), "value").filter(meets & (F.get(F.array_intersect("values_a", "values_b"), F.lit(0)) == F.col("value"))).select("a", "b")
+    more = cut(more)
     if not more.isEmpty():
-        links = links.union(cut(_confirmed(more, texts(more), words, percent)))
+        links = links.union(compared(more).filter("linked").select("a", "b"))
         roots = cut(components(links))
 
     classes = sets.select("set_id", "least").join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
@@ -210,19 +229,24 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     named = classes.join(ids, "root").select("set_id", "component_id")
     out = rows.select("_id", "set_id", "n_shingles").join(named, "set_id", "left")
     out = out.select("_id", "set_id", "n_shingles", F.when(F.col("set_id").isNull(), F.col("_id")).otherwise(F.col("component_id")).alias("component_id"))
-    out = out.withColumn("kept", F.col("_id").eqNullSafe(F.col("component_id")))
-    if keep == [doc_id]:
-        return out.select(F.col("_id").alias(doc_id), "n_shingles", "component_id", "kept")
-    # other columns come back by the id; rows that share one are equal in what is added or told apart by their set
-    found = out.select("_id", F.col("set_id").alias("_set"), "n_shingles", "component_id", "kept").distinct()
-    keyed = sketched(docs.withColumn("_key", F.col(text)), "_key", words).drop("n_shingles", "sketch")
-    joined = keyed.join(found, keyed[doc_id].eqNullSafe(found["_id"]) & keyed["set_id"].eqNullSafe(found["_set"]))
-    return joined.select(*(keyed[c] for c in keep), found["n_shingles"], "component_id", "kept")
+    return out.withColumn("kept", F.col("_id").eqNullSafe(F.col("component_id"))).withColumnRenamed("_id", doc_id)
+
+
+def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows, all columns, whose id is their component's: one document of each group, with its repeated rows."""
+    judged = cut(near_duplicates(docs, doc_id, text, words, percent).select(F.col(doc_id).alias("_gone"), F.col("set_id").alias("_set"), "kept"))
+    gone = judged.filter("NOT kept").select("_gone", "_set").distinct()
+    if gone.count() <= MAX_BROADCAST:
+        gone = F.broadcast(gone)
+    columns = [F.col(c) for c in docs.columns]
+    # an id may stand on rows of several texts, so a row is known by its set too
+    keyed = sketched(docs.withColumn("_text", F.col(text)), "_text", words)
+    return keyed.join(gone, F.col(doc_id).eqNullSafe(F.col("_gone")) & F.col("set_id").eqNullSafe(F.col("_set")), "left_anti").select(*columns)
 
 
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return near_duplicates(docs, words=4, keep=["doc_id"])
+    return near_duplicates(docs, words=4).drop("set_id")
 
 
 def near_sql(docs: str, words: int) -> str:
