@@ -338,6 +338,39 @@ def is_base58_address(v: Column) -> Column:
     return F.coalesce(F.when(F.rlike(bare, F.lit("^[13][a-km-zA-HJ-NP-Z1-9]{25,34}$")), _base58(bare)), no())
 
 
+def _double_sha(hexed: Column) -> Column:
+    return F.sha2(F.unhex(F.sha2(F.unhex(hexed), 256)), 256)
+
+
+def is_base58_native(v: Column) -> Column:
+    """The same as is_base58_address() in columns only, for use inside of lambdas.
+
+    The number is held in seven parts of 30 bits, which each character multiplies by 58.
+    """
+    parts = 7
+    base = 1 << 30
+
+    def step(state: Column, c: Column) -> Column:
+        carry0 = F.instr(F.lit(X.BASE58), c).cast("bigint") - 1
+
+        def part(acc: Column, x: Column) -> Column:
+            total = x * 58 + acc["carry"]
+            return F.struct(F.floor(total / base).cast("bigint").alias("carry"), F.concat(acc["out"], F.array((total % base).cast("bigint"))).alias("out"))
+
+        start = F.struct(carry0.alias("carry"), F.array().cast("array<bigint>").alias("out"))
+        return F.aggregate(state, start, part, lambda a: a["out"])
+
+    def check(x: Column) -> Column:
+        number_ = F.aggregate(chars(x), F.array_repeat(F.lit(0).cast("bigint"), parts), step)
+        bits = F.array_join(F.transform(F.reverse(number_), lambda n: F.lpad(F.bin(n), 30, "0")), "")
+        # 210 bits: the low 200 are the address, one version byte, a hash and four bytes of checksum
+        hexed = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(24)), lambda i: F.lpad(F.conv(F.substring(bits, i * 8 + 11, F.lit(8)), 2, 16), 2, "0")), "")
+        return (F.left(bits, F.lit(10)) == "0" * 10) & (F.left(F.lower(_double_sha(F.left(hexed, F.lit(42)))), F.lit(8)) == F.lower(F.right(hexed, F.lit(8))))
+
+    # a leading 1 stands for a zero byte: as many as the number has beyond its length
+    return shaped(F.regexp_replace(v, r"^\s+|\s+$", ""), "[13][a-km-zA-HJ-NP-Z1-9]{25,34}", check)
+
+
 def is_valid_bech32(v: Column) -> Column:
     return shaped(F.lower(F.regexp_replace(v, r"^\s+|\s+$", "")), f"bc1[{X.BECH32}]+", _bech32)
 

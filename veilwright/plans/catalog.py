@@ -1,4 +1,365 @@
 """Queries of the detection engine by name, with the SQL that states their results."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from veilwright.functions import fixed as X
+from veilwright.functions import validators as V
+from veilwright.operators import anonymity, report, sanitize
+from veilwright.operators.detect import CATALOG, CustomRule, catalog_frame, detect
+from veilwright.sources.readers import cells, json_leaves
+
+SIMPLE = ["EMAIL", "IPV4", "AWS_API_KEY", "GENERIC_API_KEY"]
+SALT = "a salt for tests only"
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# --- detections in documents ------------------------------------------------------------------
+
+_OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+RE2 = {
+    "EMAIL": (r"(?i)([A-Za-z0-9._%+\-]{1,64}@[A-Za-z0-9.\-]{1,253}\.[A-Za-z]{2,})", 1),
+    "IPV4": (rf"(?:^|[^0-9])({_OCTET}(?:\.{_OCTET}){{3}})(?:[^0-9]|$)", 1),
+    "AWS_API_KEY": ("((?:AKIA|ASIA|ABIA|ACCA)[0-9A-Z]{16})", 1),
+    "GENERIC_API_KEY": (r"(?i)(?:api[\-_]?key|secret|token|passwd|password|auth[\-_]?token)\s*[:=]\s*[''\x22]?([A-Za-z0-9_\-.~+/=]{16,})", 1),
+}
+HITS = " UNION ALL ".join(f"SELECT doc_id, lang, source, '{t}' AS type, unnest(regexp_extract_all(text, '{p}', {g})) AS value FROM documents" for t, (p, g) in RE2.items())
+
+
+def found_in_documents(spark: SparkSession, sf_dir: str, types: list[str] | None = None) -> DataFrame:
+    return read(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text", detect(F.col("text"), types=types).alias("detections"))
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All detectors over documents: count and frameworks by type."""
+    counts = report.breakdown(found_in_documents(spark, sf_dir))
+    known = catalog_frame(spark).select("type", "region", "severity", F.array_join("compliance", "+").alias("compliance"))
+    return counts.join(F.broadcast(known), "type")
+
+
+QUERIES["breakdown_all_types"] = flagship
+
+
+@query("detect_values", f"SELECT doc_id, type, value, count(*) AS n FROM ({HITS}) GROUP BY ALL")
+def _detect_values(spark, sf_dir):
+    found = found_in_documents(spark, sf_dir, SIMPLE)
+    return found.select("doc_id", F.explode("detections").alias("d")).groupBy("doc_id", "d.type", "d.value").agg(F.count("*").alias("n"))
+
+
+@query("breakdown", f"SELECT type, count(*) AS count FROM ({HITS}) GROUP BY type")
+def _breakdown(spark, sf_dir):
+    return report.breakdown(found_in_documents(spark, sf_dir, SIMPLE))
+
+
+_FRAMEWORKS = " UNION ALL ".join(f"SELECT '{f}' AS framework, {sum(f in CATALOG[t].compliance for t in SIMPLE)} AS k" for f in X.FRAMEWORKS)
+
+
+@query("compliance_summary", f"SELECT framework, CAST(CASE WHEN k = 0 THEN 0 ELSE (SELECT count(*) FROM ({HITS})) END AS BIGINT) AS count FROM ({_FRAMEWORKS})")
+def _compliance(spark, sf_dir):
+    return report.compliance_summary(report.breakdown(found_in_documents(spark, sf_dir, SIMPLE)))
+
+
+_SEVERITY = "CASE type " + " ".join(f"WHEN '{t}' THEN {CATALOG[t].severity}" for t in SIMPLE) + " END"
+
+
+@query(
+    "risk_score",
+    f"""SELECT score, CASE WHEN score < 25 THEN 'LOW' WHEN score < 50 THEN 'MODERATE' WHEN score < 75 THEN 'HIGH' ELSE 'CRITICAL' END AS level
+    FROM (SELECT CAST(least(100, round_even(sum({_SEVERITY}) / (SELECT count(*) FROM documents) * 20, 0)) AS INTEGER) AS score FROM ({HITS}))""",
+)
+def _risk(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    return report.risk_score(report.breakdown(found_in_documents(spark, sf_dir, SIMPLE)), docs.count())
+
+
+def _heat(label: str) -> str:
+    return f"""WITH h AS (SELECT {label} AS label, count(*) AS n FROM ({HITS}) GROUP BY 1),
+    a AS (SELECT d.label, coalesce(h.n, 0) AS count FROM (SELECT DISTINCT {label} AS label FROM documents) d LEFT JOIN h ON h.label = d.label)
+    SELECT label, CAST(count AS BIGINT) AS count, CAST(CASE WHEN max(count) OVER () > 0 THEN round_even(100.0 * count / max(count) OVER (), 0) ELSE 0 END AS INTEGER) AS risk FROM a"""
+
+
+@query("heatmap_source", _heat("source"))
+def _heat_source(spark, sf_dir):
+    return report.heatmap(found_in_documents(spark, sf_dir, SIMPLE), "source")
+
+
+@query("heatmap_lang", _heat("lang"))
+def _heat_lang(spark, sf_dir):
+    return report.heatmap(found_in_documents(spark, sf_dir, SIMPLE), "lang")
+
+
+_LINES = "SELECT doc_id, i AS line, l[i] AS text FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents))"
+_EMAIL, _GROUP = RE2["EMAIL"]
+
+
+@query(
+    "heatmap_segments",
+    f"""WITH s AS (SELECT ((line - 1) // 20) * 20 + 1 AS first, len(regexp_extract_all(text, '{_EMAIL}', {_GROUP})) AS n FROM ({_LINES})), g AS (SELECT first, sum(n) AS count FROM s GROUP BY first)
+    SELECT 'Lines ' || first || '–' || (first + 19) AS label, CAST(count AS BIGINT) AS count, CAST(CASE WHEN max(count) OVER () > 0 THEN round_even(100.0 * count / max(count) OVER (), 0) ELSE 0 END AS INTEGER) AS risk FROM g""",
+)
+def _heat_segments(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select(F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("n", "text"))
+    lined = report.segments(docs.withColumn("line", F.col("n") + 1), size=20).withColumn("detections", detect(F.col("text"), types=["EMAIL"]))
+    return report.heatmap(lined, "segment")
+
+
+@query("custom_rule", "SELECT doc_id, unnest(regexp_extract_all(text, '(License, version [0-9])', 1)) AS value FROM documents")
+def _custom(spark, sf_dir):
+    rule = CustomRule("LICENSE_LINE", "License, version [0-9]", 0.8)
+    found = detect(F.col("text"), types=[], rules=[rule])
+    return read(spark, sf_dir, "documents").select("doc_id", F.explode(found).alias("d")).select("doc_id", "d.value")
+
+
+@query("region_filter", f"SELECT type, count(*) AS count FROM ({HITS}) WHERE type IN ('EMAIL', 'IPV4') GROUP BY type")
+def _region(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select(detect(F.col("text"), "PL", ["EMAIL", "IPV4", "US_PHONE", "IBAN"]).alias("detections"))
+    return report.breakdown(docs)
+
+
+@query("detect_pages", f"SELECT page_id, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '{_EMAIL}', 1)) AS v FROM pages) GROUP BY page_id")
+def _pages(spark, sf_dir):
+    pages = read(spark, sf_dir, "pages").select("page_id", F.size(detect(F.col("html"), types=["EMAIL"])).cast("long").alias("n"))
+    return pages.filter("n > 0")
+
+
+# --- taking values out ------------------------------------------------------------------------
+
+
+@query("redact_documents", f"SELECT doc_id, md5(regexp_replace(text, '{_EMAIL}', '[REDACTED]', 'g')) AS digest FROM documents")
+def _redact(spark, sf_dir):
+    found = found_in_documents(spark, sf_dir, ["EMAIL"])
+    return found.select("doc_id", F.md5(sanitize.redact_text(F.col("text"), F.col("detections")).cast("binary")).alias("digest"))
+
+
+_MAIL = "regexp_extract(value, '^([^@]*)@', 1)"
+_DOMAIN = "regexp_extract(value, '@(.*)$', 1)"
+_HOST = f"split_part({_DOMAIN}, '.', 1)"
+
+
+@query(
+    "mask_email",
+    f"""SELECT value, CASE WHEN length({_MAIL}) > 2 THEN left({_MAIL}, 1) || repeat('*', length({_MAIL}) - 2) || right({_MAIL}, 1) ELSE repeat('*', length({_MAIL})) END || '@'
+      || CASE WHEN length({_HOST}) <= 1 THEN repeat('*', length({_HOST})) ELSE left({_HOST}, 1) || repeat('*', length({_HOST}) - 1) END || substr({_DOMAIN}, length({_HOST}) + 1) AS masked
+    FROM ({HITS}) WHERE type = 'EMAIL'""",
+)
+def _mask_email(spark, sf_dir):
+    found = found_in_documents(spark, sf_dir, ["EMAIL"]).select(F.explode("detections").alias("d")).select("d.value")
+    return found.withColumn("masked", sanitize.mask_value(F.col("value"), "EMAIL"))
+
+
+@query("mask_ip", f"SELECT value, regexp_replace(value, '[.][0-9]+$', '.***') AS masked FROM ({HITS}) WHERE type = 'IPV4'")
+def _mask_ip(spark, sf_dir):
+    found = found_in_documents(spark, sf_dir, ["IPV4"]).select(F.explode("detections").alias("d")).select("d.value")
+    return found.withColumn("masked", sanitize.mask_value(F.col("value"), "IPV4"))
+
+
+_RAW = SALT.encode().ljust(64, b"\0")
+_PAD = lambda x: "from_hex('" + bytes(b ^ x for b in _RAW).hex() + "')"
+_HMAC = f"sha256({_PAD(0x5C)} || from_hex(sha256({_PAD(0x36)} || encode(c_name))))"
+
+
+@query("hash_values", f"SELECT c_custkey, left({_HMAC}, 16) AS hashed FROM customer")
+def _hash(spark, sf_dir):
+    return read(spark, sf_dir, "customer").select("c_custkey", sanitize.hash_value(F.col("c_name"), SALT).alias("hashed"))
+
+
+@query("pseudonymize_values", f"SELECT c_custkey, 'USER_' || left({_HMAC}, 8) AS token FROM customer")
+def _pseudonyms(spark, sf_dir):
+    return read(spark, sf_dir, "customer").select("c_custkey", sanitize.pseudonymize(F.col("c_name"), "EMAIL", SALT).alias("token"))
+
+
+@query("vault_tokens", f"SELECT c_custkey, 'ID_' || left({_HMAC}, 12) AS token FROM customer")
+def _tokens(spark, sf_dir):
+    return read(spark, sf_dir, "customer").select("c_custkey", sanitize.vault_token(F.col("c_name"), "US_SSN", SALT).alias("token"))
+
+
+@query("fpe_round_trip", "SELECT c_custkey, c_name AS back, true AS same_shape FROM customer")
+def _fpe(spark, sf_dir):
+    made = read(spark, sf_dir, "customer").withColumn("x", sanitize.fpe(F.col("c_name"), SALT, "PII"))
+    shape = lambda c: F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "[0-9]", "0"), "[a-z]", "a"), "[A-Z]", "A")
+    return made.select("c_custkey", sanitize.fpe(F.col("x"), SALT, "PII", decrypt=True).alias("back"), (shape(F.col("x")) == shape(F.col("c_name"))).alias("same_shape"))
+
+
+@query(
+    "laplace_noise",
+    """SELECT l_orderkey, l_linenumber, round(l_extendedprice - 0.5 * (CASE WHEN u < 0 THEN -1 ELSE 1 END) * ln(greatest(1 - 2 * abs(u), 1e-12)), 4) AS noisy
+    FROM (SELECT *, ((l_orderkey * 31 + l_linenumber) % 1000) / 1000.0 - 0.5 AS u FROM (SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem))""",
+)
+def _laplace(spark, sf_dir):
+    u = ((F.col("l_orderkey") * 31 + F.col("l_linenumber")) % 1000) / F.lit(1000.0) - 0.5
+    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(sanitize.laplace_noise(F.col("l_extendedprice"), 2.0, 1.0, u), 4).alias("noisy"))
+
+
+# --- anonymity --------------------------------------------------------------------------------
+
+QUASI = ["c_nationkey", "c_mktsegment"]
+
+
+@query(
+    "k_anonymity",
+    "SELECT count(*) AS classes, min(n) AS min_class, CAST(coalesce(sum(n) FILTER (n < 12), 0) AS BIGINT) AS suppressed, coalesce(sum(n) FILTER (n < 12), 0) IN (0, sum(n)) AS satisfies_k FROM (SELECT count(*) AS n FROM customer GROUP BY c_nationkey, c_mktsegment)",
+)
+def _k(spark, sf_dir):
+    return anonymity.k_anonymize(read(spark, sf_dir, "customer"), QUASI, k=12)[1]
+
+
+@query("k_anonymous_records", "SELECT c_custkey FROM customer WHERE (c_nationkey, c_mktsegment) IN (SELECT (c_nationkey, c_mktsegment) FROM customer GROUP BY c_nationkey, c_mktsegment HAVING count(*) >= 12)")
+def _k_rows(spark, sf_dir):
+    return anonymity.k_anonymize(read(spark, sf_dir, "customer"), QUASI, k=12)[0].select("c_custkey")
+
+
+@query("l_diversity", "SELECT CAST(c_nationkey AS VARCHAR) AS c_nationkey, count(DISTINCT floor(c_acctbal / 2000)) AS \"distinct\" FROM customer GROUP BY c_nationkey HAVING count(DISTINCT floor(c_acctbal / 2000)) < 7")
+def _l(spark, sf_dir):
+    rows = read(spark, sf_dir, "customer").withColumn("band", F.floor(F.col("c_acctbal") / 2000))
+    return anonymity.l_diversity(rows, ["c_nationkey"], "band", 7)
+
+
+@query(
+    "t_closeness",
+    """WITH c AS (SELECT c_nationkey AS g, c_mktsegment AS v, count(*) AS n FROM customer GROUP BY 1, 2), q AS (SELECT v, sum(n) / (SELECT sum(n) FROM c) AS q FROM c GROUP BY v),
+    s AS (SELECT g, sum(n) AS size FROM c GROUP BY g),
+    d AS (SELECT s.g, sum(abs(coalesce(c.n, 0) / s.size - q.q)) / 2 AS d FROM s CROSS JOIN q LEFT JOIN c ON c.g = s.g AND c.v = q.v GROUP BY s.g)
+    SELECT round_even(max(d), 4) AS max_distance, max(d) <= 0.2 AS satisfies_t FROM d""",
+)
+def _t(spark, sf_dir):
+    return anonymity.t_closeness(read(spark, sf_dir, "customer"), ["c_nationkey"], "c_mktsegment", 0.2)
+
+
+# --- sources ----------------------------------------------------------------------------------
+
+
+@query("json_leaves", "SELECT 'k' AS path, CAST(json_extract(props, '$.k') AS VARCHAR) AS text, count(*) AS n FROM events GROUP BY 2")
+def _json(spark, sf_dir):
+    return json_leaves(read(spark, sf_dir, "events"), "props").groupBy("path", "text").agg(F.count("*").alias("n"))
+
+
+@query("table_cells", "SELECT 'c_name' AS \"column\", count(*) AS n FROM customer WHERE c_name <> '' UNION ALL SELECT 'c_mktsegment', count(*) FROM customer WHERE c_mktsegment <> '' UNION ALL SELECT 'c_custkey', count(*) FROM customer")
+def _cells(spark, sf_dir):
+    return cells(read(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")).groupBy("column").agg(F.count("*").alias("n"))
+
+
+@query("detector_catalog")
+def _catalog(spark, sf_dir):
+    return catalog_frame(spark).withColumn("compliance", F.array_join("compliance", "+"))
+
+
+# --- checks on numbers made from keys -----------------------------------------------------------
+
+
+def _digits(n: int) -> Column:
+    return F.lpad(((F.col("o_orderkey") * 7919 + 12345) * 104729 % 10**n).cast("string"), n, "0")
+
+
+def _digits_sql(n: int) -> str:
+    return f"lpad(CAST((o_orderkey * 7919 + 12345) * 104729 % {10**n} AS VARCHAR), {n}, '0')"
+
+
+def _g(i: int) -> str:
+    return f"CAST(v[{i + 1}] AS INTEGER)"
+
+
+def _n(i: int, k: int) -> str:
+    return f"CAST(substr(v, {i + 1}, {k}) AS BIGINT)"
+
+
+def _w(weights, start: int = 0) -> str:
+    return "(" + " + ".join(f"{_g(start + i)} * {w}" for i, w in enumerate(weights)) + ")"
+
+
+def _real(year: str, month: str, day: str) -> str:
+    return f"try_strptime(lpad(CAST({year} AS VARCHAR), 4, '0') || lpad(CAST({month} AS VARCHAR), 2, '0') || lpad(CAST({day} AS VARCHAR), 2, '0'), '%Y%m%d') IS NOT NULL"
+
+
+def _luhn(v: str) -> str:
+    return f"list_sum(list_transform(range(1, length({v}) + 1), lambda i: CASE WHEN i % 2 = 1 THEN CAST(({v})[-i] AS INTEGER) ELSE CAST(({v})[-i] AS INTEGER) * 2 - CASE WHEN CAST(({v})[-i] AS INTEGER) > 4 THEN 9 ELSE 0 END END)) % 10 = 0"
+
+
+_LOW = lambda r: f"(CASE WHEN {r} < 2 THEN 0 ELSE 11 - {r} END)"
+_EITHER = f"({_real(f'1900 + {_n(0, 2)}', _n(2, 2), _n(4, 2))} OR {_real(f'2000 + {_n(0, 2)}', _n(2, 2), _n(4, 2))})"
+_VARIED = "len(list_distinct(string_split(v, ''))) > 1"
+_FOLD = f"list_reduce([10] || list_transform(range(1, 11), lambda i: CAST(v[i] AS INTEGER)), lambda p, x: ((CASE WHEN (p + x) % 10 = 0 THEN 10 ELSE (p + x) % 10 END) * 2) % 11)"
+_VERHOEFF_D = "[" + ", ".join("[" + ", ".join(r) + "]" for r in X.VERHOEFF_D) + "]"
+_VERHOEFF_P = "[" + ", ".join("[" + ", ".join(r) + "]" for r in X.VERHOEFF_P) + "]"
+_PESEL_MONTH = f"({_n(2, 2)} % 20)"
+_PESEL_YEAR = f"([1900, 2000, 2100, 2200, 1800][{_n(2, 2)} // 20 + 1] + {_n(0, 2)})"
+_CNP_YEAR = f"(CASE WHEN {_g(0)} IN (3, 4, 9) THEN 1800 WHEN {_g(0)} IN (5, 6) THEN 2000 ELSE 1900 END + {_n(1, 2)})"
+_KR_YEAR = f"(CASE WHEN {_g(6)} IN (1, 2, 5, 6) THEN 1900 ELSE 2000 END + {_n(0, 2)})"
+_DAY = lambda day, month: _real("2000", month, day)
+
+#: (check, digits, SQL condition on v, a string of so many digits)
+NUMBERS = {
+    "tr_national_id": (V.is_valid_tr_national_id, 11, f"v[1] <> '0' AND (({_g(0)} + {_g(2)} + {_g(4)} + {_g(6)} + {_g(8)}) * 7 - ({_g(1)} + {_g(3)} + {_g(5)} + {_g(7)}) + 1000) % 10 = {_g(9)} AND {_w((1,) * 10)} % 10 = {_g(10)}"),
+    "luhn": (V.is_valid_luhn, 16, f"{_VARIED} AND {_luhn('v')}"),
+    "pesel": (V.is_valid_pesel, 11, f"{_n(2, 2)} // 20 <= 4 AND {_real(_PESEL_YEAR, _PESEL_MONTH, _n(4, 2))} AND (10 - {_w(X.PESEL_WEIGHTS)} % 10) % 10 = {_g(10)}"),
+    "ssn": (V.is_valid_ssn, 9, "left(v, 3) NOT IN ('000', '666') AND v[1] <> '9' AND substr(v, 4, 2) <> '00' AND substr(v, 6, 4) <> '0000'"),
+    "cpf": (V.is_valid_cpf, 11, f"{_VARIED} AND {_LOW(f'({_w(X.CPF_WEIGHTS[0])} % 11)')} = {_g(9)} AND {_LOW(f'({_w(X.CPF_WEIGHTS[1])} % 11)')} = {_g(10)}"),
+    "de_idnr": (V.is_valid_de_idnr, 11, f"v[1] <> '0' AND {_VARIED} AND (CASE WHEN {_FOLD} = 1 THEN 0 ELSE 11 - {_FOLD} END) = {_g(10)}"),
+    "bsn": (V.is_valid_bsn, 9, f"{_VARIED} AND {_w(X.BSN_WEIGHTS)} % 11 = 0"),
+    "be_national": (V.is_valid_be_national, 11, f"{_VARIED} AND {_EITHER} AND {_n(9, 2)} IN (97 - {_n(0, 9)} % 97, 97 - (2000000000 + {_n(0, 9)}) % 97)"),
+    "se_pnr": (V.is_valid_se_pnr, 10, f"{_VARIED} AND {_DAY(f'(CASE WHEN {_n(4, 2)} > 60 THEN {_n(4, 2)} - 60 ELSE {_n(4, 2)} END)', _n(2, 2))} AND {_luhn('v')}"),
+    "no_fnr": (V.is_valid_no_fnr, 11, f"{_VARIED} AND {_DAY(_n(0, 2), _n(2, 2))} AND (11 - {_w(X.NO_WEIGHTS[0])} % 11) % 11 = {_g(9)} AND (11 - {_w(X.NO_WEIGHTS[1])} % 11) % 11 = {_g(10)}"),
+    "pt_nif": (V.is_valid_pt_nif, 9, f"v[1] <> '0' AND {_VARIED} AND {_LOW(f'({_w(X.PT_WEIGHTS)} % 11)')} = {_g(8)}"),
+    "ro_cnp": (V.is_valid_ro_cnp, 13, f"v[1] <> '0' AND {_VARIED} AND {_real(_CNP_YEAR, _n(3, 2), _n(5, 2))} AND {_n(7, 2)} BETWEEN 1 AND 52 AND {_n(9, 3)} > 0 AND (CASE WHEN {_w(X.CNP_WEIGHTS)} % 11 = 10 THEN 1 ELSE {_w(X.CNP_WEIGHTS)} % 11 END) = {_g(12)}"),
+    "gr_afm": (V.is_valid_gr_afm, 9, f"v[1] <> '0' AND {_VARIED} AND {_w(X.AFM_WEIGHTS)} % 11 % 10 = {_g(8)}"),
+    "aba": (V.is_valid_aba, 9, f"{_VARIED} AND ({_n(0, 2)} <= 12 OR {_n(0, 2)} BETWEEN 21 AND 32 OR {_n(0, 2)} BETWEEN 61 AND 72 OR {_n(0, 2)} = 80) AND {_w(X.ABA_WEIGHTS)} % 10 = 0"),
+    "itin": (V.is_valid_itin, 9, f"v[1] = '9' AND {_VARIED} AND {_n(3, 2)} >= 70 AND {_n(3, 2)} NOT IN (89, 93)"),
+    "abn": (V.is_valid_abn, 11, f"v[1] <> '0' AND {_VARIED} AND ({_w(X.ABN_WEIGHTS)} - 10) % 89 = 0"),
+    "kr_rrn": (V.is_valid_kr_rrn, 13, f"{_VARIED} AND {_g(6)} BETWEEN 1 AND 8 AND {_real(_KR_YEAR, _n(2, 2), _n(4, 2))} AND (11 - {_w(X.KR_WEIGHTS)} % 11) % 10 = {_g(12)}"),
+    "il_id": (V.is_valid_il_id, 8, f"{_VARIED} AND {_luhn('v')}"),
+    "za_id": (V.is_valid_za_id, 13, f"{_VARIED} AND {_EITHER} AND {_g(10)} < 2 AND {_luhn('v')}"),
+    "th_id": (V.is_valid_th_id, 13, f"v[1] NOT IN ('0', '9') AND {_VARIED} AND (11 - {_w(X.TH_WEIGHTS)} % 11) % 10 = {_g(12)}"),
+    "jp_number": (V.is_valid_jp_number, 12, f"{_VARIED} AND {_LOW(f'({_w(X.JP_WEIGHTS)} % 11)')} = {_g(11)}"),
+    "imei": (V.is_valid_imei, 15, f"{_VARIED} AND {_luhn('v')}"),
+    "vkn": (V.is_valid_vkn, 10, f"v[1] <> '0' AND {_VARIED} AND (10 - (" + " + ".join(f"(({_g(i)} + {9 - i}) % 10 * {2 ** (9 - i) % 11}) % 11" for i in range(9)) + f") % 10) % 10 = {_g(9)}"),
+    "tfn": (V.is_valid_tfn, 9, f"{_VARIED} AND {_w(X.TFN_WEIGHTS)} % 11 = 0"),
+    "sin": (V.is_valid_sin, 9, f"v[1] NOT IN ('0', '8', '9') AND {_VARIED} AND {_luhn('v')}"),
+    "aadhaar": (V.is_valid_aadhaar, 12, f"v[1] NOT IN ('0', '1') AND {_VARIED} AND list_reduce([0] || list_transform(range(0, 12), lambda i: {_VERHOEFF_P}[i % 8 + 1][CAST(v[-i - 1] AS INTEGER) + 1]), lambda c, x: {_VERHOEFF_D}[c + 1][x + 1]) = 0"),
+    "npi": (V.is_valid_npi, 10, f"v[1] IN ('1', '2') AND {_VARIED} AND {_luhn(chr(39) + '80840' + chr(39) + ' || v')}"),
+}
+
+
+def _number_query(check, n: int) -> Callable[[SparkSession, str], DataFrame]:
+    def made(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return read(spark, sf_dir, "orders").select("o_orderkey", _digits(n).alias("v")).filter(check(F.col("v")))
+
+    return made
+
+
+for _name, (_check, _size, _sql) in NUMBERS.items():
+    QUERIES[f"valid_{_name}"] = _number_query(_check, _size)
+    SQL[f"valid_{_name}"] = f"SELECT o_orderkey, v FROM (SELECT o_orderkey, {_digits_sql(_size)} AS v FROM orders) WHERE {_sql}"
+
+
+@query(
+    "valid_nif",
+    f"SELECT o_orderkey, v FROM (SELECT o_orderkey, {_digits_sql(8)} || '{X.ES_LETTERS}'[CAST(o_orderkey % 23 + 1 AS INTEGER)] AS v FROM orders) WHERE '{X.ES_LETTERS}'[CAST(CAST(left(v, 8) AS BIGINT) % 23 + 1 AS INTEGER)] = v[9]",
+)
+def _nif(spark, sf_dir):
+    made = F.concat(_digits(8), F.substring(F.lit(X.ES_LETTERS), (F.col("o_orderkey") % 23 + 1).cast("int"), F.lit(1)))
+    return read(spark, sf_dir, "orders").select("o_orderkey", made.alias("v")).filter(V.is_valid_nif(F.col("v")))
+
+
+@query("valid_iban", f"SELECT o_orderkey, v FROM (SELECT o_orderkey, 'DE' || {_digits_sql(2)} || lpad({_digits_sql(15)}, 18, '0') AS v FROM orders) WHERE CAST(substr(v, 5) || '1314' || substr(v, 3, 2) AS HUGEINT) % 97 = 1")
+def _iban(spark, sf_dir):
+    made = F.concat(F.lit("DE"), _digits(2), F.lpad(_digits(15), 18, "0"))
+    return read(spark, sf_dir, "orders").select("o_orderkey", made.alias("v")).filter(V.is_valid_iban(F.col("v")))
+
