@@ -8,11 +8,11 @@ Candidates come from inverted lists of retained values. Two sets with Jaccard 0.
 LEAST of K retained values (80 % of the set where the sketches are complete; otherwise fewer
 have a probability of 1e-8), so that it is enough to list each class under its rarest values,
 all but LEAST - 1 of them. A value that is frequent because a passage is repeated in many
-documents is listed only where little else is in the text. In each list all classes are
-compared with the one that has most copies. Pairs of other components in a list follow, but for
-those that the triangle inequality of 1 - Jaccard parts; each pair in one list only. The sketch
-of the union of a pair estimates its Jaccard and drops what is far below; the rest is decided on
-the full sets. Links become components by alternating large and small stars.
+documents is listed only where little else is in the text. Each class is
+compared, on the full sets, with the class of most copies that leads one of its lists. Pairs that
+this leaves in different components follow as far as what they share with that one, and beyond
+it, allows a link. The sketch of the union of such a pair estimates its Jaccard and drops what is far below; the rest is
+decided on the full sets. Links become components by alternating large and small stars.
 
 Null and empty texts have no shingles and link with nothing. Repeated rows and null document
 ids are allowed: a component's id is its least id that is not null. An empty table gives none.
@@ -31,6 +31,8 @@ from veilwright.llm._common import cut, map_rows, table
 
 K = 64
 LEAST = 30
+#: Jaccard with its center from which a class is described by what it has beyond the center.
+NEAR = 0.5
 #: Estimates this far below the threshold are never confirmed: over six standard deviations.
 MARGIN = 0.31
 SEEN_WORDS = 400_000
@@ -123,9 +125,15 @@ def _estimate(a: str, b: str) -> Column:
 
 
 def _compared(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """a, b, jaccard and linked for the pairs (a, b), from the full sets; texts: set_id, body."""
+    """For the pairs (a, b), from the full sets: shared (shingles of both), n_a, n_b, linked, and extra.
+
+    extra: the shingles of b that a lacks, where the Jaccard is NEAR or more; otherwise null.
+    texts: set_id, body.
+    """
     of = lambda k: texts.select(F.col("set_id").alias(k), F.col("body").alias(f"body_{k}"))
     both = pairs.select("a", "b").join(of("b"), "b").join(of("a"), "a")
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64())]
+    names = ["a", "b", "shared", "n_a", "n_b", "linked", "extra"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(words)
@@ -133,18 +141,66 @@ def _compared(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
         last_id, last = None, None
         for batch in batches:
             a, b, ta, tb = (batch.column(batch.schema.get_field_index(c)) for c in ("a", "b", "body_a", "body_b"))
-            near, linked = [], []
-            for i, key in enumerate(a.to_pylist()):
-                if key != last_id:
-                    last_id, last = key, shingle(ta[i].as_py())
+            rows = []
+            for i, (x, y) in enumerate(zip(a.to_pylist(), b.to_pylist(), strict=True)):
+                if x != last_id:
+                    last_id, last = x, shingle(ta[i].as_py())
                 other = shingle(tb[i].as_py())
-                shared = len(np.intersect1d(last, other, assume_unique=True))
-                union = len(last) + len(other) - shared
-                near.append(shared / union)
-                linked.append(100 * shared >= percent * union)
-            yield pa.RecordBatch.from_arrays([a, b, pa.array(near, pa.float64()), pa.array(linked, pa.bool_())], names=["a", "b", "jaccard", "linked"])
+                extra = np.setdiff1d(other, last, assume_unique=True)
+                shared = len(other) - len(extra)
+                union = len(last) + len(extra)
+                rows.append((x, y, shared, len(last), len(other), 100 * shared >= percent * union, extra.view(np.int64).tolist() if shared >= NEAR * union else None))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], type=t) for k, t in enumerate(kinds)], names=names)
 
-    return both.mapInArrow(run, "a long, b long, jaccard double, linked boolean")
+    return both.mapInArrow(run, "a long, b long, shared long, n_a long, n_b long, linked boolean, extra array<long>")
+
+
+def _others(star: DataFrame, lists: DataFrame, centers: DataFrame, members: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that may be linked although their centers joined them not.
+
+    Let b and c have the center a, and s be what each shares with a. Without a shingle in common
+    that a lacks, b and c share min(s_b, s_c) at most. So they are linked only if that is enough,
+    for which one must be smaller than a, or if they have such a shingle in common: those meet by
+    it. Pairs of which one is so far from a that this says little, but for those that the triangle
+    inequality of 1 - Jaccard parts, and pairs with different centers meet in the first list that
+    both are in.
+    """
+    rooted = star.join(roots.select(F.col("node").alias("b"), "root"), "b", "left").withColumn("root", F.coalesce("root", "b"))
+    rooted = cut(rooted.withColumn("jaccard", F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared"))))
+    mixed = rooted.groupBy("a").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("a")
+    near = rooted.filter(F.col("extra").isNotNull()).join(mixed, "a")
+    # 100 |b and c| >= percent |b or c|, as a bound of what both share
+    enough = lambda most: (100 + percent) * most >= percent * (F.col("n1") + F.col("n2"))
+    close = F.abs(F.col("j1") - F.col("j2")) <= 1 - percent / 100 + 1e-9
+    apart = (F.col("r1") != F.col("r2")) & (100 * F.least("n1", "n2") >= percent * F.greatest("n1", "n2"))
+
+    def side(frame: DataFrame, k: int, *keys: str) -> DataFrame:
+        return frame.select(*keys, F.col("b").alias(f"b{k}"), F.col("n_b").alias(f"n{k}"), F.col("root").alias(f"r{k}"), F.col("jaccard").alias(f"j{k}"), F.col("shared").alias(f"s{k}"))
+
+    least = F.least("s1", "s2")
+    small = side(near.filter("NOT linked"), 1, "a").join(side(near.filter("n_b < n_a"), 2, "a"), "a").filter(apart & close & enough(least))
+    extra = near.select("a", "b", "n_b", "root", "jaccard", "shared", F.explode("extra").alias("value"))
+    several = extra.groupBy("a", "value").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("a", "value")
+    extra = extra.join(several, ["a", "value"])
+    alike = side(extra, 1, "a", "value").join(side(extra, 2, "a", "value"), ["a", "value"]).filter((F.col("b1") < F.col("b2")) & apart & close & enough(least + F.least(F.col("n1") - F.col("s1"), F.col("n2") - F.col("s2"))))
+
+    known = centers.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+    known = known.join(rooted.select(F.col("b").alias("set_id"), F.col("jaccard").alias("j")), "set_id", "left").withColumn("j", F.coalesce("j", F.lit(1.0)))
+    held = cut(lists.join(known, "set_id"))
+    span = held.groupBy("value").agg(F.min("root").alias("r_low"), F.max("root").alias("r_high"), F.min("center").alias("c_low"), F.max("center").alias("c_high"), F.min("j").alias("least"))
+    open_ = span.filter((F.col("r_low") != F.col("r_high")) & ((F.col("c_low") != F.col("c_high")) | (F.col("least") < NEAR))).select("value")
+    rows = held.join(open_, "value").join(members.select("set_id", F.col("n_shingles").alias("n"), "values", "sketch"), "set_id")
+    one = lambda k: rows.select("value", F.col("set_id").alias(f"b{k}"), *(F.col(c).alias(f"{c[0]}{k}") for c in ("n", "root", "center", "j")), F.col("values").alias(f"v{k}"), F.col("sketch").alias(f"k{k}"))
+    same = (F.col("c1") == F.col("c2")) & (F.least("j1", "j2") < NEAR) & close
+    untried = (F.col("c1") != F.col("b2")) & (F.col("c2") != F.col("b1"))
+    first = F.get(F.array_intersect("v1", "v2"), F.lit(0)) == F.col("value")
+    likely = lambda x, y: _estimate(x, y) >= percent / 100 - MARGIN
+    far = one(1).join(one(2), "value").filter((F.col("b1") < F.col("b2")) & apart & untried & (same | (F.col("c1") != F.col("c2"))) & F.when(first, likely("k1", "k2")).otherwise(False))
+
+    pair = lambda frame: frame.select(F.least("b1", "b2").alias("a"), F.greatest("b1", "b2").alias("b"))
+    sketches = lambda k: members.select(F.col("set_id").alias(k), F.col("sketch").alias(f"s_{k}"))
+    guessed = pair(small.filter("b1 <> b2").union(alike.select(small.columns))).distinct().join(sketches("b"), "b").join(sketches("a"), "a")
+    return guessed.filter(likely("s_a", "s_b")).select("a", "b").union(pair(far)).distinct()
 
 
 def _texts(base: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -192,36 +248,17 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     lists = cut(_lists(sets))
     members = cut(lists.groupBy("set_id").agg(F.sort_array(F.collect_list("value")).alias("values")).join(sets, "set_id"))
     texts = cut(_texts(base, members.select("set_id", "least"), words))
-    sketches = lambda k: members.select(F.col("set_id").alias(k), F.col("n_shingles").alias(f"n_{k}"), F.col("sketch").alias(f"s_{k}"))
-    similar = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-
-    def compared(pairs: DataFrame) -> DataFrame:
-        """a, b, low and high (bounds of the Jaccard) and linked."""
-        guessed = pairs.join(sketches("b"), "b").join(sketches("a"), "a").select("a", "b", F.when(similar, _estimate("s_a", "s_b") + MARGIN).otherwise(F.least("n_a", "n_b") / F.greatest("n_a", "n_b")).alias("high"))
-        guessed = cut(guessed)
-        sure = _compared(guessed.filter(F.col("high") >= percent / 100), texts, words, percent)
-        return cut(guessed.join(sure, ["a", "b"], "left").select("a", "b", F.coalesce("jaccard", F.lit(0.0)).alias("low"), F.coalesce("jaccard", "high").alias("high"), F.coalesce("linked", F.lit(False)).alias("linked")))
-
-    # each class of a list with the list's leader, which is the one with most copies
-    sized = lists.join(members.select("set_id", "copies"), "set_id")
-    leader = cut(sized.groupBy("value").agg(F.max_by("set_id", F.struct("copies", "set_id")).alias("a"), F.count("*").alias("m")).filter("m > 1").select("value", "a"))
-    star = compared(lists.join(leader, "value").filter("set_id <> a").select("a", F.col("set_id").alias("b")).distinct())
+    # the leader of a list has most copies; a class is compared with the leader of most copies, its center
+    copies = lists.join(members.select("set_id", "copies"), "set_id")
+    leader = copies.groupBy("value").agg(F.max(F.struct("copies", F.col("set_id").alias("id"))).alias("leader"), F.count("*").alias("m")).filter("m > 1")
+    centers = cut(lists.join(leader, "value").groupBy("set_id").agg(F.max("leader").alias("leader")).select("set_id", F.col("leader.id").alias("center")))
+    star = centers.filter("set_id <> center").select(F.col("center").alias("a"), F.col("set_id").alias("b"))
+    star = cut(_compared(star, texts, words, percent))
     links = star.filter("linked").select("a", "b")
     roots = cut(components(links))
-
-    # lists that still hold more than one component: what the leader's Jaccards don't part is compared
-    held = lists.join(leader, "value").join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
-    held = cut(held)
-    mixed = held.groupBy("value").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("value")
-    left = held.join(mixed, "value").filter("set_id <> a").join(star.select("a", F.col("b").alias("set_id"), "low", "high"), ["a", "set_id"]).join(members.select("set_id", "n_shingles", "values"), "set_id")
-    side = lambda k: left.select("value", *(F.col(c).alias(f"{c}_{k}") for c in ("low", "high", "root", "values")), F.col("set_id").alias(k), F.col("n_shingles").alias(f"n_{k}"))
-    # 1 - Jaccard is a metric; a pair is made in the first list that both are in
-    apart = 1 - percent / 100 + 1e-9
-    meets = (F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & similar & (F.col("low_a") - F.col("high_b") <= apart) & (F.col("low_b") - F.col("high_a") <= apart)
-    more = side("a").join(side("b"), "value").filter(meets & (F.get(F.array_intersect("values_a", "values_b"), F.lit(0)) == F.col("value"))).select("a", "b")
-    more = cut(more)
+    more = cut(_others(star, lists, centers, members, roots, percent))
     if not more.isEmpty():
-        links = links.union(compared(more).filter("linked").select("a", "b"))
+        links = links.union(cut(_compared(more, texts, words, percent).filter("linked").select("a", "b")))
         roots = cut(components(links))
 
     classes = sets.select("set_id", "least").join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
