@@ -280,10 +280,9 @@ def fold(node: tuple) -> tuple:
         return node
     if kind == "block":
         nodes: list[tuple] = []
-        for x in map(fold, node[1]):
-            if x[0] == "block":
-                nodes += x[1]
-            elif x[0] == "out" and x[1][0] == "const" and nodes and nodes[-1][0] == "out" and nodes[-1][1][0] == "const":
+        folded = [fold(x) for x in node[1]]
+        for x in (y for x in folded for y in (x[1] if x[0] == "block" else [x])):
+            if x[0] == "out" and x[1][0] == "const" and nodes and nodes[-1][0] == "out" and nodes[-1][1][0] == "const":
                 nodes[-1] = ("out", ("const", _text(nodes[-1][1][1]) + _text(x[1][1])))
             else:
                 nodes.append(x)

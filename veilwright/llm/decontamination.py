@@ -124,7 +124,12 @@ def _joined(base: DataFrame, grams: DataFrame, keep: list[str]) -> DataFrame:
     base = base.withColumn("_text", F.sha2(F.array_join("_w", " "), 256))
     texts = base.select("_text", "_w").dropDuplicates(["_text"])
     n = F.size("_w")
-    every = F.concat(*(F.when(n >= k, F.transform(F.sequence(F.lit(1), n - k + 1), lambda i, k=k: F.struct(i.alias("at"), F.lit(k).alias("k"), F.array_join(F.slice("_w", i, F.lit(k)), " ").alias("gram")))).otherwise(F.array().cast("array<struct<at:int,k:int,gram:string>>")) for k in lengths))
+
+    def windows(k: int) -> Column:
+        found = F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.struct(i.alias("at"), F.lit(k).alias("k"), F.array_join(F.slice("_w", i, F.lit(k)), " ").alias("gram")))
+        return F.when(n >= k, found).otherwise(F.array().cast("array<struct<at:int,k:int,gram:string>>"))
+
+    every = F.concat(*map(windows, lengths))
     places = texts.select("_text", F.explode(every).alias("p")).select("_text", "p.*")
     hits = places.join(grams.select("gram", "items"), "gram").groupBy("_text").agg(F.collect_list(F.struct((F.col("at") - 1).alias("from"), (F.col("at") - 1 + F.col("k")).alias("to"), "items")).alias("_found"))
     none = F.array().cast("array<struct<from:int,to:int,items:array<string>>>")
