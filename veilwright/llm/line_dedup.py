@@ -19,8 +19,8 @@ Null and empty texts are one empty line. An empty table gives none. Other column
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
-from hashlib import blake2b
 from typing import Any
 
 import pandas as pd
@@ -38,25 +38,18 @@ SEGMENTS = 256
 PROBES = 4
 #: Repeated keys up to which they are sent to all tasks (about 60 bytes each).
 MAX_SHIPPED = 500_000
-_FOLD = str.maketrans(UPPER, LOWER)
 #: For the id of a row without one.
 NO_ID = -(1 << 63)
 
 
-def key_of(line: str) -> str:
-    return line.strip(BLANKS).translate(_FOLD)
-
-
-def digest(key: str) -> bytes:
-    return blake2b(key.encode("utf-8", "surrogatepass"), digest_size=16).digest()
-
-
 def keys_of(text: str | None, min_chars: int) -> dict[bytes, list[int]]:
-    """The hashes of a text's long keys, with the places of their lines."""
+    """The hashes of a text's long keys, with the places of their lines; bytes.lower() knows A-Z alone."""
+    from xxhash import xxh3_128_digest as digest
+
     found: dict[bytes, list[int]] = {}
     for i, line in enumerate((text or "").split("\n")):
-        if len(line) >= min_chars and len(k := key_of(line)) >= min_chars:
-            found.setdefault(digest(k), []).append(i)
+        if len(line) >= min_chars and len(line := line.strip(BLANKS)) >= min_chars:
+            found.setdefault(digest(line.encode("utf-8", "surrogatepass").lower()), []).append(i)
     return found
 
 
@@ -91,14 +84,15 @@ def twice_seen(docs: DataFrame, text: str, min_chars: int, bits: int):
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         once, twice, any_ = np.zeros(bits, bool), np.zeros(bits, bool), False
         for batch in batches:
+            counts = Counter()
             for t in batch.column(0):
-                found = list(keys_of(t.as_py(), min_chars))
-                if found:
-                    any_ = True
-                    at = _bits(found, bits)
-                    seen = once[at].all(axis=1)
-                    twice[at[seen].ravel()] = True
-                    once[at.ravel()] = True
+                counts.update(keys_of(t.as_py(), min_chars).keys())
+            if counts:
+                any_ = True
+                at = _bits(list(counts), bits)
+                seen = once[at].all(axis=1) | (np.fromiter(counts.values(), np.int64, len(counts)) > 1)
+                twice[at[seen].ravel()] = True
+                once[at.ravel()] = True
         if any_:
             for s in range(SEGMENTS):
                 a = once[s * size : (s + 1) * size]
@@ -134,14 +128,13 @@ def repeated_lines(docs: DataFrame, doc_id: str, text: str, min_chars: int, min_
             keys, ids = [], []
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 found = keys_of(t.as_py(), min_chars)
-                if found:
-                    at = _bits(list(found), bits)
-                    hit = ((filter_[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(axis=1)
-                    for k, x in zip(found, hit, strict=True):
-                        if x:
-                            keys.append(k)
-                            ids.append(NO_ID if i is None else i)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(ids, pa.int64())], names=["key", "id"])
+                keys += found
+                ids += [NO_ID if i is None else i] * len(found)
+            if keys:
+                at = _bits(keys, bits)
+                hit = np.nonzero(((filter_[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(axis=1))[0]
+                places = pa.array(hit, pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()).take(places), pa.array(ids, pa.int64()).take(places)], names=["key", "id"])
 
     found = docs.select(F.col(doc_id).cast("long").alias("id"), text).mapInArrow(suspects, "key binary, id long")
     repeated = found.groupBy("key").agg(F.count("*").alias("n"), F.max("id").alias("last")).filter(F.col("n") >= min_docs).select("key", "last")
