@@ -4,8 +4,8 @@ Documents with equal texts are linked. A group's links form a star around the gr
 that no pairs are made: in each round every group counts its documents in each shard, picks the
 shard with most of them that still takes some, and its other members, in cells of those that
 started in the same shard, want to move there. A shard takes at most its quota; where more want
-to come than fit, cells are taken by their hash. Groups over a shard's quota fill one shard after
-another. At the end the counts are made exact: shards over their quota hand documents on, those
+to come than fit, cells are taken by their hash. Groups of a quarter of a quota and more, which are
+few, fill one shard after another first. At the end the counts are made exact: shards over their quota hand documents on, those
 without links first, to shards below it.
 
 The law is `rows`: counts differ by one at most. Ranks are sums over buckets of document hashes,
@@ -40,14 +40,22 @@ def _quota(total: int, shards: int) -> Column:
 def propagate(cells: DataFrame, total: int, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
     """cells: g (group), s0 (the shard its n documents started in). Adds s, the shard where they end."""
     spark = cells.sparkSession
-    state = cells.withColumn("s", F.col("s0"))
+    quota = max(1, total // shards)
+    # groups of a quarter of a shard and more, of which there are 4 * shards at most, fill one shard after another and stay
+    sizes = cells.groupBy("g").agg(F.sum("n").alias("all"))
+    large = cells.join(sizes.filter(F.col("all") * 4 >= quota), "g")
+    upto = F.sum("n").over(Window.orderBy(F.desc("all"), "g", "s0"))
+    at = F.least(F.floor((upto - F.col("n") / 2) / quota).cast("int"), F.lit(shards - 1))
+    large = large.withColumn("s", at).select("g", "s0", "n", "s", F.lit(True).alias("stays"))
+    small = cells.join(sizes.filter(F.col("all") * 4 < quota).select("g"), "g").select("g", "s0", "n", F.col("s0").alias("s"), F.lit(False).alias("stays"))
+    state = cut(large.union(small))
     all_shards = spark.range(shards).select(F.col("id").cast("int").alias("s"))
     for _ in range(rounds):
         held = state.groupBy("g", "s").agg(F.sum("n").alias("n"))
         # a shard whose linked documents fill it takes no more
         full = held.groupBy("s").agg(F.sum("n").alias("linked"))
         room = cut(all_shards.join(full, "s", "left").select("s", (_quota(total, shards) - F.coalesce("linked", F.lit(0))).alias("room")))
-        near = held.join(F.broadcast(room), "s").withColumn("open", F.col("room") > 0)
+        near = state.filter("NOT stays").groupBy("g", "s").agg(F.sum("n").alias("n")).join(F.broadcast(room), "s").withColumn("open", F.col("room") > 0)
         # most documents first; a full shard is a choice only for what is in it already
         best = near.filter("open").groupBy("g").agg(F.max_by("s", F.struct("n", F.xxhash64("g", "s"))).alias("to"))
         wish = state.join(best, "g").filter("s <> to")
@@ -56,7 +64,7 @@ def propagate(cells: DataFrame, total: int, shards: int = SHARDS, rounds: int =
         share = cut(all_shards.select(F.col("s").alias("to")).join(share, "to"))
         moved = state.join(best, "g", "left").join(F.broadcast(share), "to", "left")
         goes = (F.col("s") != F.col("to")) & (F.when(F.col("share") >= 1, F.lit(True)).otherwise(_unit("g", "s0") < F.col("share")))
-        state = cut(moved.select("g", "s0", "n", F.when(F.coalesce(goes, F.lit(False)), F.col("to")).otherwise(F.col("s")).alias("s")))
+        state = cut(moved.select("g", "s0", "n", "stays", F.when(F.coalesce(goes, F.lit(False)), F.col("to")).otherwise(F.col("s")).alias("s")))
     return state
 
 
@@ -80,7 +88,8 @@ def balanced_shards(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     ended = propagate(cut(counts.join(linked, "g")), total, shards, rounds)
     placed = base.join(ended.select("g", "s0", "s"), ["g", "s0"], "left").select("id", "size", "crc", F.col("s").isNotNull().alias("linked"), F.coalesce("s", "s0").alias("s"))
     buckets = max(1, total // (shards * BUCKET_ROWS) + 1) * 8
-    spread = F.pmod(F.xxhash64("id"), F.lit(buckets))
+    # a hash of its own: the one that chose the first shard would put a shard's rows into one bucket
+    spread = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(buckets))
     order = ["id", "crc", "size"]
     # linked documents have the first ranks of a shard
     ranked = _ranked(placed, "s", F.when(F.col("linked"), spread).otherwise(spread + buckets), order, "r")
