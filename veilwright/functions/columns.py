@@ -73,19 +73,19 @@ def number(d: Column, place: int, length: int) -> Column:
     return F.substring(d, place + 1, length).cast("bigint")
 
 
-def weighted(d: Column, weights: Sequence[int], start: int = 0) -> Column:
-    """The sum of digits times weights."""
-    total = F.lit(0)
-    for i, w in enumerate(weights):
-        if w:
-            total = total + digit(d, start + i) * w
-    return total
+def constants(values: Sequence) -> Column:
+    """An array of numbers, as one expression."""
+    return F.expr(f"array({', '.join(map(str, values))})")
 
 
 def values_weighted(values: Column, weights: Sequence[int]) -> Column:
-    """The same for an array of numbers."""
-    products = F.zip_with(values, F.array(*map(F.lit, weights)), lambda x, w: x * w)
-    return F.aggregate(products, F.lit(0), lambda a, x: a + x)
+    """The sum of numbers times weights; further numbers don't count."""
+    return F.aggregate(F.zip_with(values, constants(weights), lambda x, w: x * w), F.lit(0), lambda a, x: a + x)
+
+
+def weighted(d: Column, weights: Sequence[int], start: int = 0) -> Column:
+    """The sum of the digits from a place on times weights."""
+    return values_weighted(numbers(F.substring(d, start + 1, len(weights))), weights)
 
 
 def letter_values(v: Column) -> Column:
