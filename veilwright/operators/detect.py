@@ -78,7 +78,7 @@ _RUN = {n: rf"[0-9]{{{n}}}" for n in (4, 6, 7, 8, 9, 10, 11, 12, 13, 15)}
 GATES = {
     "AWS_API_KEY": ("AKIA", "ASIA", "ABIA", "ACCA"), "JWT": ("eyJ",), "EMAIL": ("@",), "IPV4": r"[0-9]\.[0-9]{1,3}\.[0-9]", "IPV6": ":[0-9A-Fa-f]{0,4}:", "TR_PHONE": r"5[0-9]{2}[\s\-()]*[0-9]{3}[\s\-()]*[0-9]{2}", "US_PHONE": r"[2-9][0-9]{2}[\s.\-)]*[2-9][0-9]{2}[\s.\-]*[0-9]{4}",
     "INTL_PHONE": r"\+[0-9]", "GITHUB_TOKEN": ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_"), "SLACK_WEBHOOK": ("hooks.slack.com", "xox"), "STRIPE_KEY": ("_live_", "_test_"), "OPENAI_KEY": ("sk-",), "GOOGLE_API_KEY": ("AIza",), "AZURE_KEY": ("AccountKey=",), "DATABASE_URL": ("://",),
-    "PRIVATE_KEY": ("-----BEGIN",), "MAC_ADDRESS": "(?:[0-9A-Fa-f]{2}[:-]){5}", "TELEGRAM_TOKEN": "[0-9]{8}:", "ANTHROPIC_KEY": ("sk-",), "HF_TOKEN": ("hf_",), "GITLAB_TOKEN": ("glpat-",), "NPM_TOKEN": ("npm_",), "PYPI_TOKEN": ("pypi-",), "TWILIO_KEY": "[0-9a-fA-F]{32}",
+    "PRIVATE_KEY": ("-----BEGIN",), "MAC_ADDRESS": "[:-][0-9A-Fa-f]{2}[:-][0-9A-Fa-f]{2}[:-]", "TELEGRAM_TOKEN": "[0-9]{8}:", "ANTHROPIC_KEY": ("sk-",), "HF_TOKEN": ("hf_",), "GITLAB_TOKEN": ("glpat-",), "NPM_TOKEN": ("npm_",), "PYPI_TOKEN": ("pypi-",), "TWILIO_KEY": "[0-9a-fA-F]{32}",
     "SENDGRID_KEY": ("SG.",), "DISCORD_WEBHOOK": ("webhooks/",), "IN_IFSC": "[A-Z]{4}0", "TR_NATIONAL_ID": _RUN[11], "CREDIT_CARD": r"(?:[0-9][\s\-]?){13}", "GENERIC_API_KEY": r"[:=]\s*['\"]?[A-Za-z0-9_\-.~+/=]{16}", "PL_PESEL": _RUN[11], "US_SSN": r"[0-9][- ][0-9]{2}[- ][0-9]",
     "ES_NIF": _RUN[8], "ES_NIE": _RUN[7], "GB_NINO": r"[A-Za-z] ?[0-9]{2} ?[0-9]{2} ?[0-9]{2} ?[A-Da-d]", "FR_NIR": r"[12](?:[0-9A-Za-zıſİK] ?){14}", "IT_FISCAL": r"[0-9]{2}.[0-9]{2}.[0-9]{3}", "BR_CPF": r"[0-9]{3}[.\-]?[0-9]{3}[.\-]?[0-9]{3}", "DE_IDNR": _RUN[11], "NL_BSN": _RUN[9],
     "BE_NATIONAL_ID": r"[0-9]{2}[.\- ]?[0-9]{2}[.\- ]?[0-9]{2}[.\- ]?[0-9]{3}", "FI_HETU": r"[0-9]{6}[+\-Aa][0-9]{3}", "SE_PERSONNUMMER": r"[0-9]{6}[-+]?[0-9]{4}", "NO_FODSELSNUMMER": _RUN[11], "PT_NIF": _RUN[9], "RO_CNP": _RUN[13], "GR_AFM": _RUN[9], "US_ABA": _RUN[9],
@@ -89,7 +89,7 @@ GATES = {
 }
 DIGITS = "[0-9]"
 #: Types whose patterns all have a digit, tested once for the text before anything else.
-_NEED_DIGIT = frozenset(t for t, d in CATALOG.items() if t not in {"JWT", "EMAIL", "IPV6", "SLACK_WEBHOOK", "STRIPE_KEY", "OPENAI_KEY", "AZURE_KEY", "DATABASE_URL", "PRIVATE_KEY", "MAC_ADDRESS", "ANTHROPIC_KEY", "HF_TOKEN", "GITLAB_TOKEN", "NPM_TOKEN", "PYPI_TOKEN", "TWILIO_KEY", "SENDGRID_KEY", "GOOGLE_API_KEY", "GITHUB_TOKEN", "AWS_API_KEY", "GENERIC_API_KEY", "SWIFT_BIC", "PASSPORT", "DRIVERS_LICENSE", "HEALTH_INSURANCE_ID", "BTC_ADDRESS", "VIN", "DISCORD_WEBHOOK"})
+_NEED_DIGIT = frozenset(t for t, d in CATALOG.items() if t not in {"JWT", "EMAIL", "IPV6", "SLACK_WEBHOOK", "STRIPE_KEY", "OPENAI_KEY", "AZURE_KEY", "DATABASE_URL", "PRIVATE_KEY", "MAC_ADDRESS", "ANTHROPIC_KEY", "HF_TOKEN", "GITLAB_TOKEN", "NPM_TOKEN", "PYPI_TOKEN", "TWILIO_KEY", "SENDGRID_KEY", "GOOGLE_API_KEY", "GITHUB_TOKEN", "AWS_API_KEY", "GENERIC_API_KEY", "SWIFT_BIC", "PASSPORT", "DRIVERS_LICENSE", "HEALTH_INSURANCE_ID", "VIN", "DISCORD_WEBHOOK"})
 
 
 #: What the patterns of the detectors with digits in separated groups need in common.
