@@ -70,7 +70,7 @@ def test_last_step_against_numpy(spark):
     x = np.vstack([rng.normal(0, 1, (300, Q.P)), rng.normal(9, 1, (30, Q.P))])
     frame = spark.createDataFrame([("g", "s", *map(float, r)) for r in x], ", ".join(["_lang string", "_source string", *(f"{c} double" for c in Q.X)]))
     start = Q._whiten(Q._start(frame))
-    step = Q._step(frame, start, 0.0, Q.COVERAGE).first()
+    step = Q._step(frame, start, Q.COVERAGE, floor=0.0).first()
     p = start.first()
     w = np.zeros((Q.P, Q.P))
     for i, j in Q.PAIRS:
@@ -80,7 +80,7 @@ def test_last_step_against_numpy(spark):
     near = x[bins <= np.sort(bins)[int(np.ceil(len(x) * Q.COVERAGE)) - 1]]
     assert np.allclose(near.mean(0), [step[f"m{i}"] for i in range(Q.P)])
     cov = np.cov(near.T, bias=True)
-    assert all(abs(cov[i, j] - step[f"c{i}_{j}"]) < 1e-9 for i, j in Q.PAIRS)
+    assert all(abs(Q.CONSISTENCY * cov[i, j] - step[f"c{i}_{j}"]) < 1e-9 for i, j in Q.PAIRS)
     assert abs(near.mean(0)).max() < 0.3
 
 

@@ -4,9 +4,9 @@ The base limits look at a text alone. The verdict on what passes them is a dista
 group of language and source the location and the covariance of a vector of transformed
 statistics are estimated by minimum covariance determinant. The start is the medians and
 quartile ranges; each concentration step keeps the `coverage` share of rows nearest to the
-present estimate and takes mean and covariance of those alone. A fixed prior covariance of
-`prior_rows` rows is mixed in, which bounds the estimate from below where a statistic is the
-same in nearly all rows, and steadies small groups. Rows whose squared Mahalanobis distance is
+present estimate and takes mean and covariance of those alone, scaled up to what it would be of
+all rows if these were normal. A fixed diagonal is added, which bounds the estimate from below
+where a statistic is the same in nearly all rows, and steadies small groups. Rows whose squared Mahalanobis distance is
 over `cutoff` are rejected. Quantiles are taken from counts of narrow bins, so that no group
 is gathered or sorted in one task.
 
@@ -25,11 +25,12 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 COVERAGE = 0.75
 STEPS = 3
-#: 0.75 quantile of the chi-square distribution with 6 degrees of freedom.
-CHI_75 = 7.841
-CUTOFF = 40.0
-PRIOR_ROWS = 60.0
-#: Standard deviations of the prior, for each statistic of stats().
+#: By which the covariance of the nearest 75 % falls short, for 6 statistics: 0.75 over the chi-square
+#: distribution with 8 degrees of freedom at the 0.75 quantile of that with 6.
+CONSISTENCY = 1.36
+#: 0.999 quantile of the chi-square distribution with 6 degrees of freedom.
+CUTOFF = 22.46
+#: Roots of the diagonal that is added, for each statistic of stats().
 PRIOR_SPREAD = (1.0, 0.7, 0.35, 1.0, 0.9, 0.35)
 P = len(PRIOR_SPREAD)
 SYMBOLS = "#*$%&|<>"
@@ -178,19 +179,18 @@ def _distance() -> Column:
     return total
 
 
-def _step(rows: DataFrame, groups: DataFrame, prior_rows: float, coverage: float) -> DataFrame:
-    """One concentration step: the estimate from each group's nearest rows."""
+def _step(rows: DataFrame, groups: DataFrame, coverage: float, floor: float = 1.0) -> DataFrame:
+    """One concentration step: the estimate from each group's nearest rows. floor: factor of the diagonal."""
     near = _join(rows, groups).select(*GROUP, *X, F.floor(F.log2(_distance() + 1e-6) * 16).cast("int").alias("_b"))
     counts = near.groupBy(*GROUP, "_b").agg(F.count("*").alias("n"))
     edge = _bin_quantile(counts, list(GROUP), coverage, "_b", "_edge")
     kept = _join(near, edge).filter(F.col("_b") <= F.col("_edge"))
     made = kept.groupBy(*GROUP).agg(F.count("*").alias("n"), F.max("_edge").alias("_edge"), *(F.avg(x).alias(f"m{i}") for i, x in enumerate(X)), *(F.covar_pop(X[i], X[j]).alias(f"v{i}_{j}") for i, j in PAIRS))
-    whole = F.col("n") + prior_rows
-    cov = [((F.col("n") * F.col(f"v{i}_{j}") + (prior_rows * PRIOR_SPREAD[i] ** 2 if i == j else 0.0)) / whole).alias(f"c{i}_{j}") for i, j in PAIRS]
+    cov = [(CONSISTENCY * F.col(f"v{i}_{j}") + (floor * PRIOR_SPREAD[i] ** 2 if i == j else 0.0)).alias(f"c{i}_{j}") for i, j in PAIRS]
     return made.select(*GROUP, *(f"m{i}" for i in range(P)), *cov)
 
 
-def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", cutoff: float = CUTOFF, coverage: float = COVERAGE, steps: int = STEPS, prior_rows: float = PRIOR_ROWS, keep: list[str] | None = None) -> DataFrame:
+def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", cutoff: float = CUTOFF, coverage: float = COVERAGE, steps: int = STEPS, keep: list[str] | None = None) -> DataFrame:
     """The columns `keep` (all, if None) of each row with its base statistics, base_failed, distance and kept."""
     keep = docs.columns if keep is None else keep
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
@@ -200,7 +200,7 @@ def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", sourc
     sound = rows.filter(~F.col("base_failed")).select(*GROUP, *X)
     groups = cut(_whiten(_start(sound)))
     for _ in range(steps):
-        groups = cut(_whiten(_step(sound, groups, prior_rows, coverage)))
+        groups = cut(_whiten(_step(sound, groups, coverage)))
     judged = _join(rows, groups).withColumn("distance", F.when(~F.col("base_failed"), _distance()))
     return judged.select(*own, *names, "distance", (~F.col("base_failed") & (F.col("distance") <= cutoff)).alias("kept"))
 
