@@ -50,6 +50,17 @@ def risk_score(counts: DataFrame, units: int | Column) -> DataFrame:
     return total.select(score.alias("score")).withColumn("level", risk_level(F.col("score")))
 
 
+def file_scores(found: DataFrame, file: str = "file", detections: str = "detections") -> DataFrame:
+    """file, units, count, score, level of each file, in one job for a whole folder."""
+    known = F.broadcast(catalog_frame(found.sparkSession).select("type", "severity"))
+    units = found.groupBy(file).agg(F.count("*").alias("units"))
+    hits = found.select(file, F.explode(detections).alias("d")).groupBy(file, F.col("d.type").alias("type")).agg(F.count("*").alias("n"))
+    sums = hits.join(known, "type", "left").groupBy(file).agg(F.sum("n").alias("count"), F.sum(F.col("n") * F.coalesce("severity", F.lit(1.0))).alias("total"))
+    score = F.least(F.lit(100), F.bround(F.coalesce("total", F.lit(0.0)) / F.greatest("units", F.lit(1)) * FACTOR).cast("int"))
+    out = units.join(sums, file, "left").select(file, "units", F.coalesce("count", F.lit(0)).cast("long").alias("count"), score.alias("score"))
+    return out.withColumn("level", risk_level(F.col("score")))
+
+
 def heatmap(found: DataFrame, label: str | Column, detections: str = "detections", keep_empty: bool = True) -> DataFrame:
     """label, count, risk: detections by label, and their share of the greatest count in percent, half to even."""
     counts = found.groupBy((F.col(label) if isinstance(label, str) else label).alias("label")).agg(F.sum(F.size(detections)).cast("long").alias("count"))

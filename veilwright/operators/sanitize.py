@@ -11,7 +11,7 @@ import hashlib
 import hmac
 import secrets
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilwright.functions import fixed as X
@@ -159,6 +159,12 @@ def pseudonymize(v: Column, kind: Column | str, salt: str) -> Column:
     return F.concat(prefix(kind), F.lit("_"), F.left(hmac_sha256(v, salt), F.lit(8)))
 
 
+def pseudonym_map(found: DataFrame, salt: str, detections: str = "detections") -> DataFrame:
+    """value, type, token of each value that was found; of a value under several types the least."""
+    rows = found.select(F.explode(detections).alias("d")).groupBy(F.col("d.value").alias("value")).agg(F.min("d.type").alias("type"))
+    return rows.withColumn("token", pseudonymize(F.col("value"), F.col("type"), salt))
+
+
 def vault_token(v: Column, kind: Column | str, salt: str) -> Column:
     return F.concat(prefix(kind), F.lit("_"), F.left(hmac_sha256(v, salt), F.lit(12)))
 

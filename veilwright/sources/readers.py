@@ -26,6 +26,14 @@ def extension_of(path: str) -> str:
     return EXTENSIONS[found]
 
 
+def capabilities() -> dict[str, bool]:
+    """Which optional readers could be used here: their libraries are looked for, not loaded."""
+    from importlib.util import find_spec
+
+    needs = {"xlsx": "openpyxl", "docx": "docx", "pdf": "pypdf", "avro": "fastavro", "ocr": "pytesseract", "ner": "onnxruntime", "yaml": "yaml"}
+    return dict.fromkeys(sorted(set(EXTENSIONS.values())), True) | {k: find_spec(m) is not None for k, m in needs.items()}
+
+
 def cells(frame: DataFrame, file: Column | None = None) -> DataFrame:
     """file, column, text of all cells that are not empty; values that are no strings are cast."""
     own = [c for c in frame.columns if c != "_file"]
