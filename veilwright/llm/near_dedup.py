@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilwright.llm._common import cut, map_rows, table
+from veilwright.llm._common import cut, map_rows, release, table
 
 K = 64
 LEAST = 30
@@ -35,7 +35,7 @@ LEAST = 30
 NEAR = 0.5
 #: Estimates this far below the threshold are never confirmed: over six standard deviations.
 MARGIN = 0.31
-SEEN_WORDS = 400_000
+SEEN_WORDS = 100_000
 #: Classes up to which their ids are sent to all tasks to find their texts (16 bytes each).
 MAX_BROADCAST = 200_000
 #: Odd factors of the places in a shingle.
@@ -151,6 +151,7 @@ def _compared(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
                 union = len(last) + len(extra)
                 rows.append((x, y, shared, len(last), len(other), 100 * shared >= percent * union, extra.view(np.int64).tolist() if shared >= NEAR * union else None))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], type=t) for k, t in enumerate(kinds)], names=names)
+        release()
 
     return both.mapInArrow(run, "a long, b long, shared long, n_a long, n_b long, linked boolean, extra array<long>")
 
@@ -179,10 +180,18 @@ def _others(star: DataFrame, lists: DataFrame, centers: DataFrame, members: Data
 
     least = F.least("s1", "s2")
     small = side(near.filter("NOT linked"), 1, "a").join(side(near.filter("n_b < n_a"), 2, "a"), "a").filter(apart & close & enough(least))
-    extra = near.select("a", "b", "n_b", "root", "jaccard", "shared", F.explode("extra").alias("value"))
-    several = extra.groupBy("a", "value").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("a", "value")
-    extra = extra.join(several, ["a", "value"])
-    alike = side(extra, 1, "a", "value").join(side(extra, 2, "a", "value"), ["a", "value"]).filter((F.col("b1") < F.col("b2")) & apart & close & enough(least + F.least(F.col("n1") - F.col("s1"), F.col("n2") - F.col("s2"))))
+    # of such shingles as many must be common as a link needs beyond the shared, so that the rarest, all but these, suffice
+    sizes = near.groupBy("a").agg(F.min("n_b").alias("n_least"))
+    must = F.ceil(percent * (F.col("n_b") + F.greatest("n_least", F.ceil(percent * F.col("n_b") / 100))) / (100 + percent) - 1e-6) - F.col("shared")
+    sized = near.join(sizes, "a").withColumn("must", F.greatest(must, F.lit(1)).cast("int"))
+    each = sized.select("a", "b", F.explode("extra").alias("value"))
+    several = each.groupBy("a", "value").agg(F.count("*").alias("df")).filter("df > 1")
+    mine = each.join(several, ["a", "value"]).groupBy("a", "b").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("v"))
+    mine = mine.join(sized.drop("extra"), ["a", "b"])
+    room = F.size("v") - F.col("must") + 1
+    rare = mine.withColumn("value", F.explode(F.slice("v", 1, F.greatest(room, F.lit(0))))).withColumn("value", F.col("value.value"))
+    open_side, any_side = side(rare.filter("NOT linked"), 1, "a", "value"), side(rare, 2, "a", "value", "linked")
+    alike = open_side.join(any_side, ["a", "value"]).filter((F.col("linked") | (F.col("b1") < F.col("b2"))) & apart & close & enough(least + F.least(F.col("n1") - F.col("s1"), F.col("n2") - F.col("s2"))))
 
     known = centers.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     known = known.join(rooted.select(F.col("b").alias("set_id"), F.col("jaccard").alias("j")), "set_id", "left").withColumn("j", F.coalesce("j", F.lit(1.0)))
@@ -199,7 +208,7 @@ def _others(star: DataFrame, lists: DataFrame, centers: DataFrame, members: Data
 
     pair = lambda frame: frame.select(F.least("b1", "b2").alias("a"), F.greatest("b1", "b2").alias("b"))
     sketches = lambda k: members.select(F.col("set_id").alias(k), F.col("sketch").alias(f"s_{k}"))
-    guessed = pair(small.filter("b1 <> b2").union(alike.select(small.columns))).distinct().join(sketches("b"), "b").join(sketches("a"), "a")
+    guessed = pair(small.filter("b1 <> b2").select("b1", "b2").union(alike.select("b1", "b2"))).distinct().join(sketches("b"), "b").join(sketches("a"), "a")
     return guessed.filter(likely("s_a", "s_b")).select("a", "b").union(pair(far)).distinct()
 
 
