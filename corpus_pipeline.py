@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilwright.llm._common import checkpoint_dir, table
-from veilwright.llm.bpe import bpe_decode, bpe_encode
+from veilwright.llm.bpe import bpe_encode
 from veilwright.llm.decontamination import decontaminate
 from veilwright.llm.line_dedup import dedup_lines
 from veilwright.llm.near_dedup import drop_near_duplicates
@@ -43,7 +43,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The tokens of what is left, with digests of the ids and of the decoded text."""
-    coded = bpe_decode(bpe_encode(docs.select("doc_id", "lang", "source", "text")).drop("text"))
+    coded = bpe_encode(docs.select("doc_id", "lang", "source", "text"), decoded="decoded", drop=("text",))
     ids = F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256)
     return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), ids.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

@@ -28,7 +28,7 @@ from veilwright.llm._common import map_rows, table
 #: Longest piece in symbols that the rank array merges by scanning.
 SHORT = 128
 #: Distinct pieces that a task remembers.
-CACHE = 200_000
+CACHE = 150_000
 NONE = 1 << 60
 
 
@@ -150,15 +150,29 @@ def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def bpe_encode(docs: DataFrame, text: str = "text", out: str = "ids", path: str | None = None) -> DataFrame:
-    """Adds the token ids of each whole text; null and empty texts get an empty array."""
+def bpe_encode(docs: DataFrame, text: str = "text", out: str = "ids", decoded: str | None = None, path: str | None = None, drop: tuple[str, ...] = ()) -> DataFrame:
+    """Adds the token ids of each whole text; null and empty texts get an empty array.
+
+    decoded: a column for the text that the ids stand for, decoded in the same pass. drop: columns
+    that are not needed any more.
+    """
     path = path or vocabulary_path()
 
     def make():
-        encode = codec(path).encode
-        return lambda t: (encode(t),)
+        c = codec(path)
+        if decoded is None:
+            return lambda t: (c.encode(t),)
+
+        def both(t):
+            ids = c.encode(t)
+            return ids, c.decode(ids)
+
+        return both
 
-    return map_rows(docs, [text], pa.schema([(out, pa.list_(pa.int32()))]), f"{out} array<int>", make)
+    added, types = [(out, pa.list_(pa.int32()))], f"{out} array<int>"
+    if decoded is not None:
+        added, types = [*added, (decoded, pa.string())], f"{types}, {decoded} string"
+    return map_rows(docs, [text], pa.schema(added), types, make, drop)
 
 
 def bpe_decode(docs: DataFrame, ids: str = "ids", out: str = "decoded", path: str | None = None) -> DataFrame:
@@ -174,7 +188,7 @@ def bpe_decode(docs: DataFrame, ids: str = "ids", out: str = "decoded", path: st
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = bpe_decode(bpe_encode(docs).drop("text"))
+    coded = bpe_encode(docs, decoded="decoded", drop=("text",))
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

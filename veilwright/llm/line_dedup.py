@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilwright.llm._common import BLANKS, LOWER, UPPER, cut, map_rows, table
+from veilwright.llm._common import BLANKS, LOWER, UPPER, cut, map_rows, release, table
 
 MIN_CHARS = 40
 MIN_DOCS = 5
@@ -98,6 +98,8 @@ def twice_seen(docs: DataFrame, text: str, min_chars: int, bits: int):
                 a = once[s * size : (s + 1) * size]
                 if a.any():
                     yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([_pack(a)], pa.binary()), pa.array([_pack(twice[s * size : (s + 1) * size])], pa.binary())], names=["segment", "once", "twice"])
+        del once, twice
+        release()
 
     def merge(key: tuple[Any, ...], rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         once, twice = np.zeros(size, bool), np.zeros(size, bool)
@@ -135,6 +137,7 @@ def repeated_lines(docs: DataFrame, doc_id: str, text: str, min_chars: int, min_
                 hit = np.nonzero(((filter_[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(axis=1))[0]
                 places = pa.array(hit, pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()).take(places), pa.array(ids, pa.int64()).take(places)], names=["key", "id"])
+        release()
 
     found = docs.select(F.col(doc_id).cast("long").alias("id"), text).mapInArrow(suspects, "key binary, id long")
     repeated = found.groupBy("key").agg(F.count("*").alias("n"), F.max("id").alias("last")).filter(F.col("n") >= min_docs).select("key", "last")
