@@ -64,6 +64,21 @@ def test_outliers(spark):
         assert got[i].kept == (sound and i % 40 != 7), (i, got[i].distance)
 
 
+def test_large_groups_decide(spark):
+    """In a large source without repetition and of one length, repeated lines and stubs are outliers."""
+    rng = random.Random(8)
+    line = lambda: " ".join("".join(rng.choices("abcdefghijkl", k=5)) for _ in range(10))
+    texts = ["\n".join(line() for _ in range(40)) for _ in range(2000)]
+    again = line()
+    texts[0] = "\n".join([line() for _ in range(25)] + [again] * 15)
+    texts[1] = "\n".join(line() for _ in range(5))
+    frame = spark.createDataFrame([(i, t, "en", "a") for i, t in enumerate(texts)], "doc_id int, text string, lang string, source string").repartition(4)
+    got = {r.doc_id: r for r in Q.quality_rules(frame, keep=["doc_id"]).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert not got[0].kept and not got[1].kept
+    assert sum(r.kept for r in got.values()) >= 1980
+
+
 def test_last_step_against_numpy(spark):
     """From the same present estimate, one concentration step gives the mean and covariance of the nearest rows."""
     rng = np.random.default_rng(1)

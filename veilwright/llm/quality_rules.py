@@ -5,8 +5,9 @@ group of language and source the location and the covariance of a vector of tran
 statistics are estimated by minimum covariance determinant. The start is the medians and
 quartile ranges; each concentration step keeps the `coverage` share of rows nearest to the
 present estimate and takes mean and covariance of those alone, scaled up to what it would be of
-all rows if these were normal. A fixed diagonal is added, which bounds the estimate from below
-where a statistic is the same in nearly all rows, and steadies small groups. Rows whose squared Mahalanobis distance is
+all rows if these were normal. A diagonal of the weight of PRIOR_ROWS rows is added, which steadies
+small groups and vanishes in large ones; there only LEAST_SPREAD bounds the estimate from below,
+where a statistic is the same in nearly all rows. Rows whose squared Mahalanobis distance is
 over `cutoff` are rejected. Quantiles are taken from counts of narrow bins, so that no group
 is gathered or sorted in one task.
 
@@ -33,6 +34,10 @@ CUTOFF = 22.46
 #: Roots of the diagonal that is added, for each statistic of stats().
 PRIOR_SPREAD = (1.0, 0.7, 0.35, 1.0, 0.9, 0.35)
 P = len(PRIOR_SPREAD)
+#: The diagonal counts as so many rows of a group: ten for each statistic.
+PRIOR_ROWS = 10.0 * P
+#: The least spread: that of rounding a share of stats() to whole percents, log1p(20 * 0.01) / sqrt(12).
+LEAST_SPREAD = 0.053
 SYMBOLS = "#*$%&|<>"
 
 
@@ -129,7 +134,12 @@ def _bin_quantile(counts: DataFrame, keys: list[str], share: float, bin_col: str
 
     w = Window.partitionBy(*keys)
     run = F.sum("n").over(w.orderBy(bin_col))
-    return counts.withColumn("_run", run).withColumn("_all", F.sum("n").over(w)).filter(F.col("_run") >= F.ceil(F.col("_all") * share)).groupBy(*keys).agg(F.min(bin_col).alias(out))
+    return counts.withColumn("_run", run).withColumn("_all", F.sum("n").over(w)).filter(F.col("_run") >= F.ceil(F.col("_all") * share)).groupBy(*keys).agg(F.min(bin_col).alias(out), F.max("_all").alias("_all"))
+
+
+def _diagonal(i: int, n: Column) -> Column:
+    """What is added to the variance of a statistic that n rows gave."""
+    return F.lit(PRIOR_SPREAD[i] ** 2 * PRIOR_ROWS) / (n + PRIOR_ROWS) + LEAST_SPREAD**2
 
 
 def _start(rows: DataFrame) -> DataFrame:
@@ -140,11 +150,11 @@ def _start(rows: DataFrame) -> DataFrame:
     keys = [*GROUP, "_k"]
     found = None
     for name, share in (("q1", 0.25), ("q2", 0.5), ("q3", 0.75)):
-        q = _bin_quantile(counts, keys, share, "_b", name).select(*keys, F.lit(name).alias("_q"), F.col(name).alias("_b"))
+        q = _bin_quantile(counts, keys, share, "_b", name).select(*keys, F.lit(name).alias("_q"), F.col(name).alias("_b"), "_all")
         found = q if found is None else found.unionByName(q)
     pick = lambda i, q: F.max(F.when((F.col("_k") == i) & (F.col("_q") == q), F.col("_b"))) / F.lit(float(fine))
-    wide = found.groupBy(*GROUP).agg(*(x for i in range(P) for x in (pick(i, "q2").alias(f"m{i}"), ((pick(i, "q3") - pick(i, "q1")) / 1.349).alias(f"_s{i}"))))
-    cov = {f"c{i}_{j}": F.col(f"_s{i}") ** 2 + F.lit(PRIOR_SPREAD[i] ** 2) if i == j else F.lit(0.0) for i, j in PAIRS}
+    wide = found.groupBy(*GROUP).agg(F.max("_all").alias("n"), *(x for i in range(P) for x in (pick(i, "q2").alias(f"m{i}"), ((pick(i, "q3") - pick(i, "q1")) / 1.349).alias(f"_s{i}"))))
+    cov = {f"c{i}_{j}": F.col(f"_s{i}") ** 2 + _diagonal(i, F.col("n")) if i == j else F.lit(0.0) for i, j in PAIRS}
     return wide.select(*GROUP, *(f"m{i}" for i in range(P)), *(c.alias(n) for n, c in cov.items()))
 
 
@@ -183,10 +193,10 @@ def _step(rows: DataFrame, groups: DataFrame, coverage: float, floor: float = 1.
     """One concentration step: the estimate from each group's nearest rows. floor: factor of the diagonal."""
     near = _join(rows, groups).select(*GROUP, *X, F.floor(F.log2(_distance() + 1e-6) * 16).cast("int").alias("_b"))
     counts = near.groupBy(*GROUP, "_b").agg(F.count("*").alias("n"))
-    edge = _bin_quantile(counts, list(GROUP), coverage, "_b", "_edge")
+    edge = _bin_quantile(counts, list(GROUP), coverage, "_b", "_edge").drop("_all")
     kept = _join(near, edge).filter(F.col("_b") <= F.col("_edge"))
     made = kept.groupBy(*GROUP).agg(F.count("*").alias("n"), F.max("_edge").alias("_edge"), *(F.avg(x).alias(f"m{i}") for i, x in enumerate(X)), *(F.covar_pop(X[i], X[j]).alias(f"v{i}_{j}") for i, j in PAIRS))
-    cov = [(CONSISTENCY * F.col(f"v{i}_{j}") + (floor * PRIOR_SPREAD[i] ** 2 if i == j else 0.0)).alias(f"c{i}_{j}") for i, j in PAIRS]
+    cov = [(CONSISTENCY * F.col(f"v{i}_{j}") + (floor * _diagonal(i, F.col("n")) if i == j else 0.0)).alias(f"c{i}_{j}") for i, j in PAIRS]
     return made.select(*GROUP, *(f"m{i}" for i in range(P)), *cov)
 
 
