@@ -43,6 +43,25 @@ def test_findings(spark):
     assert S.scan_secrets(frame.filter("false")).count() == 0
 
 
+def test_labelled_values_are_whole(spark):
+    """White space around the sign, parts of a name, quotes with signs and words; nothing of a value is left out."""
+    wide, jwt = " " * 300, "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0In0.c2lnbmF0dXJl"
+    cases = [
+        ('password    =    "Tr0ub4dor!3x"', ["Tr0ub4dor!3x"]), (f"db_password:{wide}s3cr3t!pass", ["s3cr3t!pass"]), (f"token\t{wide}=>\n\n\ns3cr3t!pass9", ["s3cr3t!pass9"]), ('SECRET_KEY = "p@z7!k$2m(9q#w"', ["p@z7!k$2m(9q#w"]),
+        ("tokenValue='p@z7!k$2m(9q#w'", ["p@z7!k$2m(9q#w"]), (f"SECRET_{'LONG_' * 20}KEY={wide}p@z7!k$2m(9q#w", ["p@z7!k$2m(9q#w"]), ('password = "Tr0ub4dor&3x,;<y>"', ["Tr0ub4dor&3x,;<y>"]), ("password = 'a\"b&c;d,e<f'", ['a"b&c;d,e<f']),
+        (r'password = "Tr0u\"b4dor" and "more"', [r"Tr0u\"b4dor"]), (r'password = "Tr0ub4dor\\" and "more"', [r"Tr0ub4dor\\"]), ('password = "correct horse battery"', ["correct horse battery"]), (f'token = "Bearer {jwt}"', [jwt]), ('{"password": "abc", "other": "defghijkl"}', []),
+        ('password = "Tr0ub4dor!3x and no end', ["Tr0ub4dor!3x"]), ("secret=Tr0ub4dor3x&user=me", ["Tr0ub4dor3x"]), ("passwordless entry: everywhere", []),
+    ]
+    frame = spark.createDataFrame([(i, "set " + t) for i, (t, _) in enumerate(cases)], "i int, text string")
+    rows = frame.select("i", "text", S.candidates(F.col("text")).alias("c")).withColumn("m", F.transform("c", S.measure)).orderBy("i").collect()
+    for r, (t, want) in zip(rows, cases, strict=True):
+        assert [c["value"] for c in r.c] == want, t
+        assert all(r.text[c["start"] : c["start"] + len(c["value"])] == c["value"] for c in r.c)
+        assert all(m["labelled"] == 1.0 for m, c in zip(r.m, r.c) if c["value"] != jwt), t
+    secret = {r.i for r in S.scan_secrets(frame).collect() if any(x["secret"] for x in r.findings)}
+    assert {0, 1, 2, 3, 4, 5, 6, 11} <= secret
+
+
 def test_plan_is_native(spark):
     frame = spark.createDataFrame([(1, "x")], "doc_id int, text string")
     plan = S.scan_secrets(frame)._jdf.queryExecution().executedPlan().toString()

@@ -1,7 +1,9 @@
 """Secrets in texts: candidates by pattern, false positives removed by a random forest.
 
 Candidates are values after a label such as password or token, signed tokens of three parts, and
-runs of at least 16 letters, digits and signs with a digit among them. Their features are length,
+runs of at least 16 letters, digits and signs with a digit among them. A label may go on with parts
+of a name (SECRET_KEY), any white space may stand around its sign, and a value in quotes goes to the
+closing quote of its line; one of several words that holds a token or run gives that instead. Their features are length,
 shares and transitions of character classes, dictionary coverage, signs of a path, and the words
 beside them. The forest is trained on labelled findings that `labelled_findings()` makes: secrets
 and what looks like them (hashes of commits and files, identifiers, card and phone numbers,
@@ -32,9 +34,24 @@ LIMIT = 0.5
 BEFORE, AFTER = 40, 24
 SIGNS = r"A-Za-z0-9_+/\-"
 LABEL = r"(?i:password|passwd|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key|private[_-]?key|credential)s?"
-PATTERN = rf"({LABEL}[\"']?\s{{0,2}}(?:[=:]|=>)\s{{0,2}}[\"']?)([^\s\"'<>,;&]{{8,}})|(?<![{SIGNS}])(eyJ[A-Za-z0-9_\-]{{8,}}\.[A-Za-z0-9_\-]{{8,}}\.[A-Za-z0-9_\-]*|(?=[A-Za-z_+/\-]*[0-9])[{SIGNS}]{{16,}}={{0,2}})"
+#: The rest of a name after its label.
+REST = r"(?:[_\-A-Z0-9][A-Za-z0-9_\-]*+)?+"
+SIGN = r"\s*+(?:=>|[=:])\s*+"
+BARE = rf"(?<![{SIGNS}])(?:eyJ[A-Za-z0-9_\-]{{8,}}\.[A-Za-z0-9_\-]{{8,}}\.[A-Za-z0-9_\-]*|(?=[A-Za-z_+/\-]*[0-9])[{SIGNS}]{{16,}}={{0,2}})"
+
+
+def _quoted(q: str) -> str:
+    """A value of at least 8 characters after the quote q, up to the next one without a backslash."""
+    shut = rf"(?=(?<!(?<!\\)\\){q})"
+    long = rf"(?<={q})(?![^\n]{{0,7}}?{shut})"
+    return rf"{long}\S{{8,}}?{shut}|{long}(?![^{q}\n]*?{BARE})[^\n]{{8,}}?{shut}"
+
+
+PATTERN = rf"({LABEL}{REST}[\"']?{SIGN}[\"']?+)({_quoted(chr(34))}|{_quoted(chr(39))}|[^\s\"'<>,;&]{{8,}})|({BARE})"
 #: What every text with a candidate has.
-GATE = rf"[{SIGNS}]{{16}}|{LABEL}[\"']?\s{{0,2}}[=:]"
+GATE = rf"[{SIGNS}]{{16}}|{LABEL}{REST}[\"']?\s*+[=:]"
+#: The end of what stands before a labelled value.
+LABELLED = rf"{LABEL}{REST}[\"']?{SIGN}[\"']?$"
 OPEN, SHUT = "\x01", "\x02"
 #: Fixed formats of issued keys.
 ISSUED = r"^(AKIA|ASIA|ABIA|ACCA)[A-Z0-9]{16}$|^gh[pousr]_[A-Za-z0-9]{36}|^github_pat_|^xox[abprs]-|^(sk|rk|pk)[_-](live|test|proj|ant)[_-]|^AIza[\w-]{35}|^eyJ[\w-]+\.[\w-]+\.|^glpat-|^npm_|^hf_|^SG\.|^pypi-"
@@ -53,6 +70,14 @@ WORDS = (
 FEATURES = ("length", "digits", "uppers", "lowers", "transitions", "distinct", "hexadecimal", "words", "vowels", "issued", "labelled", "near", "otherwise", "path", "fake", "dashes", "closed")
 
 
+def _before(part: Column) -> Column:
+    """The end of what stands before a value; a label that is farther off by its name or white space is drawn near."""
+    end = F.right(part, F.lit(BEFORE))
+    far = F.rlike(end, F.lit(r"(?:^\s*+|[=:>]\s*+)[\"']?$")) & ~F.rlike(end, F.lit(LABELLED))
+    near = F.regexp_replace(part, rf"({LABEL}){REST}([\"']?)\s*+(=>|[=:])\s*+([\"']?)$", "$1$2 $3 $4")
+    return F.when(far, F.right(near, F.lit(BEFORE))).otherwise(end)
+
+
 def candidates(text: Column) -> Column:
     """Array of struct(start, value, before, after)."""
     clean = F.translate(F.coalesce(text, F.lit("")), OPEN + SHUT, "")
@@ -61,7 +86,7 @@ def candidates(text: Column) -> Column:
 
     def add(state: Column, i: Column, parts: Column) -> Column:
         part = F.get(parts, i)
-        found = F.struct(state["at"].alias("start"), part.alias("value"), F.right(F.get(parts, i - 1), F.lit(BEFORE)).alias("before"), F.left(F.get(parts, i + 1), F.lit(AFTER)).alias("after"))
+        found = F.struct(state["at"].alias("start"), part.alias("value"), _before(F.get(parts, i - 1)).alias("before"), F.left(F.get(parts, i + 1), F.lit(AFTER)).alias("after"))
         return F.struct((state["at"] + F.char_length(part)).alias("at"), F.when(i % 2 == 1, F.concat(state["found"], F.array(found))).otherwise(state["found"]).alias("found"))
 
     def all_of(parts: Column) -> Column:
@@ -91,7 +116,7 @@ def measure(c: Column) -> Column:
         "words": (F.char_length(low) - F.char_length(F.regexp_replace(low, "|".join(sorted(WORDS, key=lambda w: (-len(w), w))), ""))) / n,
         "vowels": bare("aeiouAEIOU"),
         "issued": flag(F.rlike(v, F.lit(ISSUED))),
-        "labelled": flag(F.rlike(c["before"], F.lit(rf"{LABEL}[\"']?\s{{0,2}}(?:[=:]|=>)\s{{0,2}}[\"']?$"))),
+        "labelled": flag(F.rlike(c["before"], F.lit(LABELLED))),
         "near": flag(F.rlike(c["before"], F.lit(NEAR))),
         "otherwise": flag(F.rlike(c["before"], F.lit(ELSE))),
         "path": flag(F.rlike(v, F.lit("/.*/|^/|://")) | F.rlike(c["before"], F.lit(r"[./\\:]$")) | F.rlike(c["after"], F.lit(r"^[./\\(]\w"))),
