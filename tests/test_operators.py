@@ -60,6 +60,21 @@ def test_fpe(spark):
     assert x != "Ab-90 é" and x[0].isupper() and x[1].islower() and x[2] == "-" and x[3:5].isdigit() and x[5:] == " é"
 
 
+def test_fpe_of_long_values(spark):
+    """Values beyond the stream in the plan are shifted to their end, as plain Python does it, and come back."""
+    texts = ["aZ9-é😀" * 900, "x" * 512, "x" * 513, "A1b" * 171 + "😀", "7" * 5000, None]
+    shift = lambda c, r: next((chr((ord(c) - ord(a) + r) % n + ord(a)) for a, n in (("0", 10), ("a", 26), ("A", 26)) if ord(a) <= ord(c) < ord(a) + n), c)
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, v string").repartition(2)
+    for longest in (512, 40):
+        made = frame.select("i", S.fpe(F.col("v"), "k", "T", longest=longest).alias("x")).select("i", "x", S.fpe(F.col("x"), "k", "T", decrypt=True, longest=longest).alias("y")).orderBy("i").collect()
+        for r, t in zip(made, texts, strict=True):
+            assert r.y == t
+            assert r.x == (t and "".join(map(shift, t, S.keystream("k", "T", len(t)))))
+    jwt = ".".join(("eyJhbGciOiJIUzI1NiJ9", "eyJzdWIiOiIx" + "MTEx" * 1000 + "In0", "c2ln" * 100))
+    clean = spark.createDataFrame([(f"key {jwt} end",)], "t string").select(S.sanitize(F.col("t"), detect(F.col("t"), types=["JWT"]), "fpe", "salt", types=["JWT"]).alias("t")).first().t
+    assert clean == "key " + "".join(map(shift, jwt, S.keystream("salt", "JWT", len(jwt)))) + " end"
+
+
 def test_report(spark):
     frame = spark.createDataFrame([("a@b.co and 10.0.0.1", "x"), ("c@d.co", "x"), ("", "y")], "t string, label string")
     found = frame.withColumn("detections", detect(F.col("t")))

@@ -22,6 +22,8 @@ MODES = ("mask", "redact", "hash", "pseudonymize", "vault", "fpe", "noise")
 MASK_OF = {t: m for m, ts in X.MASKS.items() for t in ts.split()}
 PREFIX_OF = {t: p for p, ts in X.PREFIXES.items() for t in ts.split()}
 BLOCK = 64
+#: Bytes of a block of the stream of fpe().
+STREAM_BLOCK = 32
 
 
 def new_salt(size: int = 16) -> str:
@@ -135,9 +137,9 @@ def mask_value(v: Column, kind: Column | str) -> Column:
     return out.otherwise(mask_generic(v))
 
 
-def hmac_sha256(v: Column, key: str) -> Column:
+def hmac_sha256(v: Column, key: str | bytes) -> Column:
     """The keyed hash in hex, from two plain hashes; the padded keys are constants."""
-    raw = key.encode()
+    raw = key.encode() if isinstance(key, str) else key
     raw = (hashlib.sha256(raw).digest() if len(raw) > BLOCK else raw).ljust(BLOCK, b"\0")
     pad = lambda x: F.lit(bytearray(b ^ x for b in raw))
     inner = F.unhex(F.sha2(F.concat(pad(0x36), F.encode(v, "UTF-8")), 256))
@@ -181,17 +183,25 @@ def keystream(key: str, tweak: str, size: int) -> bytes:
 def fpe(v: Column, key: str, tweak: str, decrypt: bool = False, longest: int = 512) -> Column:
     """Digits and ASCII letters shifted within their kind by the stream of key and tweak; all else stays.
 
-    Values of over `longest` characters fail, as their stream is not in the plan.
+    The stream of the first `longest` characters (in whole blocks) is in the plan; longer values have the rest computed.
     """
-    stream = F.array(*(F.lit(b) for b in keystream(key, tweak, longest)))
+    first_blocks = -(-longest // STREAM_BLOCK)
+    held = first_blocks * STREAM_BLOCK
+    stream = F.array(*(F.lit(b) for b in keystream(key, tweak, held)))
+    secret = hashlib.sha256(key.encode()).digest()
     sign = -1 if decrypt else 1
+    n = F.char_length(v)
+    numbers = F.sequence(F.lit(first_blocks), F.floor((n - 1) / STREAM_BLOCK).cast("int"))
+    more = F.when(n > held, F.transform(numbers, lambda b: hmac_sha256(F.concat(F.lit(f"{tweak}:"), b.cast("string")), secret))).otherwise(F.array().cast("array<string>"))
 
-    def shifted(c: Column, i: Column) -> Column:
-        r = F.element_at(stream, i + 1) * sign
+    def shifted(c: Column, i: Column, more: Column) -> Column:
+        block = F.get(more, F.floor(i / STREAM_BLOCK).cast("int") - first_blocks)
+        later = F.conv(F.substring(block, i % STREAM_BLOCK * 2 + 1, F.lit(2)), 16, 10).cast("int")
+        r = F.when(i < held, F.get(stream, i)).otherwise(later) * sign
         turn = lambda first, size: F.chr(F.pmod(F.ascii(c) - first + r, F.lit(size)) + first)
         return F.when(F.rlike(c, F.lit("^[0-9]$")), turn(48, 10)).when(F.rlike(c, F.lit("^[a-z]$")), turn(97, 26)).when(F.rlike(c, F.lit("^[A-Z]$")), turn(65, 26)).otherwise(c)
 
-    return F.array_join(F.transform(F.split(v, ""), shifted), "")
+    return let(more, lambda m: F.array_join(F.transform(F.split(v, ""), lambda c, i: shifted(c, i, m)), ""))
 
 
 def laplace_noise(v: Column, epsilon: float, sensitivity: float = 1.0, u: Column | None = None, seed: int | None = None) -> Column:
