@@ -31,6 +31,13 @@ def test_types_and_places(spark):
             assert text[start:end].upper() == value.upper()
 
 
+def test_phones_in_padded_columns(spark):
+    wide = " " * 9
+    cases = {f"({212}){wide}555{wide}0123": "US_PHONE", wide.join(["+44", "20", "79", "46", "09", "58"]): "INTL_PHONE", wide.join(["532", "123", "45", "67"]): "TR_PHONE", f"({212}){wide}\n{wide}555\t\t\t\t\t0123": "US_PHONE"}
+    for (text, kind), found in zip(cases.items(), run(spark, ["call " + t for t in cases]), strict=True):
+        assert [(d[0], d[1].strip()) for d in found] == [(kind, text)], text
+
+
 def test_null_and_places_after_wide_characters(spark):
     got = run(spark, [None, "", "😀é a@b.co \x01\x02 1.2.3.4"], types=["EMAIL", "IPV4"])
     assert got == [[], [], [("EMAIL", "a@b.co", 3, 9, 0.95), ("IPV4", "1.2.3.4", 13, 20, 0.9)]]

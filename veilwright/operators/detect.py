@@ -93,7 +93,7 @@ _NEED_DIGIT = frozenset(t for t, d in CATALOG.items() if t not in {"JWT", "EMAIL
 
 
 #: What the patterns of the detectors with digits in separated groups need in common.
-SIX_DIGITS = r"[0-9](?:[ .\-/()+\s]{0,4}[0-9]){5}"
+SIX_DIGITS = r"[0-9](?:[ .\-/()+\s]*+[0-9]){5}"
 _NEED_SIX = frozenset(
     "TR_PHONE US_PHONE INTL_PHONE TR_NATIONAL_ID CREDIT_CARD PL_PESEL US_SSN ES_NIF ES_NIE GB_NINO BR_CPF DE_IDNR NL_BSN BE_NATIONAL_ID FI_HETU SE_PERSONNUMMER NO_FODSELSNUMMER PT_NIF RO_CNP GR_AFM US_ABA US_ITIN AU_ABN CN_ID KR_RRN SG_NRIC IL_ID ZA_ID TH_ID TW_ID HK_ID JP_MY_NUMBER IMEI US_DEA TR_VKN DE_TAX_ID AU_TFN CA_SIN IN_AADHAAR US_NPI TELEGRAM_TOKEN".split()
 )
