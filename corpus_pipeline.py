@@ -38,7 +38,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a window of a benchmark item go."""
-    return decontaminate(docs, table(spark, sf_dir, "benchmark"), keep=COLUMNS).filter("NOT contaminated").select(COLUMNS)
+    return decontaminate(docs, table(spark, sf_dir, "benchmark"), keep=COLUMNS, unnamed=True).filter("NOT contaminated").select(COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -53,6 +53,19 @@ def test_both_ways(spark):
         assert all(r.contaminated == (r.n_hit > 0) for r in got)
 
 
+def test_items_without_id(spark, tmp_path):
+    """Passages of items without an id are hit; only the list of ids has nothing of them."""
+    docs = spark.createDataFrame([(1, "so it is one two three four"), (2, "alpha beta one two"), (3, "clean")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, "one two"), (7, "alpha beta"), (None, "three"), (8, "three")], "item_id long, text string")
+    for most in (D.MAX_WINDOWS, 1):
+        got = D.decontaminate(docs, bench, max_windows=most, unnamed=True).orderBy("doc_id").collect()
+        assert [(r.n_hit, r.item_ids, r.contaminated) for r in got] == [(3, ["8"], True), (4, ["7"], True), (0, [], False)]
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    bench.filter("item_id IS NULL").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = D.op7_decontamination(spark, str(tmp_path)).orderBy("doc_id").collect()
+    assert [(r.n_hit, r.n_items, r.contaminated) for r in got] == [(3, 0, True), (2, 0, True), (0, 0, False)]
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     bench = spark.createDataFrame([(1, "a b")], "item_id long, text string")

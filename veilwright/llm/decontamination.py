@@ -11,7 +11,9 @@ one is joined with the documents' windows by their hash instead, with the same r
 
 Everything is DataFrame expressions. Null and empty texts have no words and are clean; items
 without words never occur; repeated rows of documents are each judged; repeated items count
-once for each distinct item id; other columns pass through.
+once for each distinct item id; other columns pass through. Items without an id are left out
+unless `unnamed` is true, as it is in the query and the pipeline: then their windows hit like any
+other, and only item_ids has no entry for them.
 """
 
 from __future__ import annotations
@@ -43,9 +45,10 @@ def _nonempty(words: Column) -> Column:
     return F.filter(words, lambda w: w != "")
 
 
-def benchmark_windows(items: DataFrame, item_id: str, text: str, window: int) -> DataFrame:
-    """gram (words joined by a space), k (its number of words), items (ids as strings, sorted)."""
-    words = items.select(F.col(item_id).cast("string").alias("item"), _nonempty(F.split(ascii_lower(F.coalesce(F.col(text), F.lit(""))), NON_WORD)).alias("w")).filter((F.size("w") > 0) & F.col("item").isNotNull())
+def benchmark_windows(items: DataFrame, item_id: str, text: str, window: int, unnamed: bool = False) -> DataFrame:
+    """gram (words joined by a space), k (its number of words), items (ids as strings, sorted; none for a null id)."""
+    words = items.select(F.col(item_id).cast("string").alias("item"), _nonempty(F.split(ascii_lower(F.coalesce(F.col(text), F.lit(""))), NON_WORD)).alias("w")).filter(F.size("w") > 0)
+    words = words if unnamed else words.filter(F.col("item").isNotNull())
     k = F.least(F.size("w"), F.lit(window))
     grams = words.withColumn("k", k).select("item", "k", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - F.col("k") + 1), lambda i: F.array_join(F.slice("w", i, F.col("k")), " "))).alias("gram"))
     return grams.groupBy("gram", "k").agg(F.sort_array(F.collect_set("item")).alias("items"))
@@ -78,10 +81,10 @@ def _finish(frame: DataFrame, n_words: Column, hits: str, keep: list[str]) -> Da
     return out.withColumn("contaminated", F.col("n_hit") > 0)
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, max_windows: int = MAX_WINDOWS, keep: list[str] | None = None) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, max_windows: int = MAX_WINDOWS, keep: list[str] | None = None, unnamed: bool = False) -> DataFrame:
     """The columns `keep` (all, if None) of each row with n_words, n_hit, item_ids, spans (word places from, to) and contaminated."""
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("n_words", "n_hit", "item_ids", "spans", "contaminated")]
-    grams = benchmark_windows(items, item_id, item_text, window)
+    grams = benchmark_windows(items, item_id, item_text, window, unnamed)
     held = grams.limit(max_windows + 1).collect()
     base = docs.select(*keep, words_of(F.col(text)).alias("_w"))
     if len(held) > max_windows:
@@ -108,10 +111,11 @@ def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", item_id
     def verified(p: Column) -> Column:
         part = F.slice("_w", p["at"], p["k"])
         same = F.filter(F.get(lookup, F.pmod(_hash(part), F.lit(BUCKETS)).cast("int")), lambda e: e["g"] == F.array_join(part, " "))
-        return F.struct((p["at"] - 1).alias("from"), (p["at"] - 1 + p["k"]).alias("to"), F.flatten(F.transform(same, lambda e: e["i"])).alias("items"))
+        return F.struct((p["at"] - 1).alias("from"), (p["at"] - 1 + p["k"]).alias("to"), F.transform(same, lambda e: e["i"]).alias("same"))
 
     none = F.array().cast("array<struct<from:int,to:int,items:array<string>>>")
-    hits = F.when(F.size("_places") == 0, none).otherwise(F.filter(F.transform("_places", verified), lambda h: F.size(h["items"]) > 0))
+    real = F.filter(F.transform("_places", verified), lambda h: F.size(h["same"]) > 0)
+    hits = F.when(F.size("_places") == 0, none).otherwise(F.transform(real, lambda h: F.struct(h["from"].alias("from"), h["to"].alias("to"), F.flatten(h["same"]).alias("items"))))
     return _finish(found.withColumn("_hits", hits), n.cast("long"), "_hits", keep)
 
 
@@ -139,7 +143,7 @@ def _joined(base: DataFrame, grams: DataFrame, keep: list[str]) -> DataFrame:
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    found = decontaminate(docs, items, keep=["doc_id"])
+    found = decontaminate(docs, items, keep=["doc_id"], unnamed=True)
     return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
 
 
