@@ -79,24 +79,95 @@ def test_large_groups_decide(spark):
     assert sum(r.kept for r in got.values()) >= 1980
 
 
-def test_last_step_against_numpy(spark):
-    """From the same present estimate, one concentration step gives the mean and covariance of the nearest rows."""
-    rng = np.random.default_rng(1)
-    x = np.vstack([rng.normal(0, 1, (300, Q.P)), rng.normal(9, 1, (30, Q.P))])
-    frame = spark.createDataFrame([("g", "s", *map(float, r)) for r in x], ", ".join(["_lang string", "_source string", *(f"{c} double" for c in Q.X)]))
-    start = Q._whiten(Q._start(frame))
-    step = Q._step(frame, start, Q.COVERAGE, floor=0.0).first()
-    p = start.first()
-    w = np.zeros((Q.P, Q.P))
-    for i, j in Q.PAIRS:
-        w[i, j] = p[f"w{i}_{j}"]
-    d = (((x - [p[f"m{i}"] for i in range(Q.P)]) @ w.T) ** 2).sum(1)
-    bins = np.floor(np.log2(d + 1e-6) * 16)
-    near = x[bins <= np.sort(bins)[int(np.ceil(len(x) * Q.COVERAGE)) - 1]]
-    assert np.allclose(near.mean(0), [step[f"m{i}"] for i in range(Q.P)])
-    cov = np.cov(near.T, bias=True)
-    assert all(abs(Q.CONSISTENCY * cov[i, j] - step[f"c{i}_{j}"]) < 1e-9 for i, j in Q.PAIRS)
-    assert abs(near.mean(0)).max() < 0.3
+def brute(x, prior, rng, tries=300):
+    """The regularized covariance of least determinant over many starts, in numpy."""
+    n, p = x.shape
+    h = int(np.ceil(Q.COVERAGE * n))
+    best = None
+    for _ in range(tries):
+        near = x[rng.choice(n, p + 2, replace=False)]
+        last = np.inf
+        while True:
+            c = np.cov(near.T, bias=True) * (Q.CONSISTENCY if len(near) == h else 1)
+            cov = (len(near) * c + Q.PRIOR_ROWS * np.diag(np.square(prior))) / (len(near) + Q.PRIOR_ROWS) 
+            np.fill_diagonal(cov, np.maximum(np.diag(cov), NOISE) + Q.NUMERIC)
+            m, now = near.mean(0), np.linalg.slogdet(cov)[1]
+            if len(near) == h:
+                if now > last - 1e-10:
+                    break
+                last = now
+            d = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(cov), x - m)
+            near = x[np.argsort(d, kind="stable")[:h]]
+        if best is None or last < best[0]:
+            best = (last, m, cov)
+    return best
+
+
+NOISE = [0.01, 0.0, 0.0, 0.0, 0.02, 0.0]
+FIELDS = ", ".join(["_lang string", "_source string", *(f"{c} double" for c in (*Q.X, *Q.ROW_NOISE))])
+
+
+def vectors():
+    """Groups of correlated vectors, with outliers off the correlation, and a shifted lot in one of them."""
+    rng = np.random.default_rng(4)
+    out = {}
+    for g, n in (("a", 60), ("b", 150), ("c", 300)):
+        mix = rng.normal(0, 1, (Q.P, Q.P))
+        x = rng.normal(0, 1, (n, Q.P)) @ mix + rng.normal(0, 5, Q.P)
+        if g == "c":
+            x[: n // 5] = rng.normal(0, 0.3, (n // 5, Q.P)) + 9
+        x[-3:] = x[:-3].mean(0) + x.std(0) * rng.choice([-3.0, 3.0], (3, Q.P))
+        out[g] = x
+    return out
+
+
+def test_estimates_against_numpy(spark):
+    """The determinants and the verdicts are those of a brute-force search, and not those of medians and fixed spreads."""
+    groups = vectors()
+    frame = spark.createDataFrame([(g, None, *map(float, r), *NOISE) for g, x in groups.items() for r in x], FIELDS).withColumn(Q.TEXT, F.monotonically_increasing_id()).repartition(3)
+    got = {r._lang: r for r in Q.estimates(frame).collect()}
+    whole = Q._quartiles(frame, ()).first()
+    prior = np.array([whole[f"s{i}"] for i in range(Q.P)])
+    different = 0
+    for g, x in groups.items():
+        logdet, m, cov = brute(x, prior, np.random.default_rng(1))
+        r, w = got[g], np.zeros((Q.P, Q.P))
+        for i, j in Q.PAIRS:
+            w[i, j] = r[f"w{i}_{j}"]
+        assert abs(r.logdet - logdet) < 0.05, (g, r.logdet, logdet)
+        ours = (((x - [r[f"m{i}"] for i in range(Q.P)]) @ w.T) ** 2).sum(1) <= Q.CUTOFF
+        theirs = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(cov), x - m) <= Q.CUTOFF
+        assert (ours == theirs).all() and not ours[-3:].all() and ours.mean() > 0.7, g
+        plain = (((x - np.median(x, 0)) / prior) ** 2).sum(1) <= Q.CUTOFF
+        different += (plain != ours).sum()
+    assert different > 10
+
+
+def test_step_is_exact_and_falls(spark):
+    """From one estimate, a step gives the mean and covariance of exactly the nearest three quarters; no determinant rises."""
+    x = vectors()["b"]
+    frame = spark.createDataFrame([("g", "s", *map(float, r), *NOISE) for r in x], FIELDS)
+    prior = [1.0] * Q.P
+    quartiles = Q._quartiles(frame, Q.GROUP).withColumns({e: F.lit(v) for e, v in zip(Q.NOISE, NOISE)})
+    start = Q.cut(Q._starts(frame, quartiles, prior))
+    one = Q.cut(Q._step(frame, start, Q.COVERAGE, prior))
+    two = {r._start: r.logdet for r in Q._step(frame, one, Q.COVERAGE, prior).collect()}
+    first, after = {r._start: r for r in start.collect()}, {r._start: r for r in one.collect()}
+    assert set(first) == set(after) == set(range(3 + Q.SUBSETS))
+    h = int(np.ceil(len(x) * Q.COVERAGE))
+    for k, p in first.items():
+        w = np.zeros((Q.P, Q.P))
+        for i, j in Q.PAIRS:
+            w[i, j] = p[f"w{i}_{j}"]
+        d = (((x - [p[f"m{i}"] for i in range(Q.P)]) @ w.T) ** 2).sum(1)
+        bins = np.floor(np.log2(d + 1e-12) * Q.BINS)
+        edge = np.sort(bins)[h - 1]
+        weight = np.where(bins < edge, 1.0, np.where(bins == edge, (h - (bins < edge).sum()) / (bins == edge).sum(), 0.0))
+        assert np.allclose(np.average(x, 0, weight), [after[k][f"m{i}"] for i in range(Q.P)])
+        cov = (h * Q.CONSISTENCY * np.cov(x.T, bias=True, aweights=weight) + Q.PRIOR_ROWS * np.eye(Q.P)) / (h + Q.PRIOR_ROWS)
+        np.fill_diagonal(cov, np.maximum(np.diag(cov), NOISE) + Q.NUMERIC)
+        assert abs(np.linalg.slogdet(cov)[1] - after[k].logdet) < 1e-6
+        assert two[k] <= after[k].logdet + 0.02
 
 
 def test_edges(spark):
@@ -106,6 +177,18 @@ def test_edges(spark):
     assert Q.quality_rules(frame.filter("false"), keep=["doc_id"]).count() == 0
 
 
+def test_clashing_columns_and_copies(spark):
+    """Columns of any name pass through; copies are judged alike and a group of one text stays."""
+    own = ["_lang", "_source", "_t", "_own", "_x0", "_text", "a.b", "_words"]
+    text = " ".join(f"word{i}," for i in range(80))
+    rows = [(i, text, "en", "s", *(f"{c}{i}" for c in own)) for i in range(30)]
+    frame = spark.createDataFrame(rows, ["doc_id", "text", "lang", "source", *own])
+    got = Q.quality_rules(frame).collect()
+    assert len(got) == 30 and all(r.kept for r in got)
+    assert all(r[c] == f"{c}{r.doc_id}" for r in got for c in own)
+    assert set(frame.columns) < set(Q.quality_rules(frame).columns)
+
+
 def test_plan_is_native(spark):
     frame = spark.createDataFrame([(1, "x", "en", "a")], "doc_id int, text string, lang string, source string")
     plan = Q.base_columns(frame).select(F.col("n_words"))._jdf.queryExecution().executedPlan().toString()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 from collections.abc import Callable, Iterator
@@ -22,11 +23,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that the session names in spark.checkpoint.dir; one of our own only where that is unset."""
+    """The folder that the session names in spark.checkpoint.dir; one of our own only where that is unset.
+
+    Own folders are for local masters alone: on a cluster the executors could not see them.
+    """
     sc = spark.sparkContext
     if current := sc.getCheckpointDir():
         return current
     if not (folder := spark.conf.get("spark.checkpoint.dir", None)):
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="veilwright-")
         atexit.register(shutil.rmtree, folder, True)
     sc.setCheckpointDir(folder)
@@ -39,6 +45,20 @@ def cut(frame: DataFrame) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
+def packed(frame: DataFrame, columns: list[str], name: str = "_own") -> Column:
+    """The columns in one struct, so that no name of theirs meets an operator's own."""
+    return F.struct(*(F.col(quoted(c)).alias(c) for c in columns)).alias(name) if columns else F.lit(None).cast("int").alias(name)
+
+
+def unpacked(columns: list[str], name: str = "_own") -> list[Column]:
+    """What packed() holds, column by column."""
+    return [F.col(name).getField(c).alias(c) for c in columns]
+
+
+def quoted(column: str) -> str:
+    return "`" + column.replace("`", "``") + "`"
+
+
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
