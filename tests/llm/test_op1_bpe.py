@@ -30,6 +30,13 @@ def test_against_library(library):
         assert codec.decode(want.ids) == library.decode(want.ids, skip_special_tokens=False)
 
 
+def test_every_code_point(library):
+    codec = bpe.Codec(PATH)
+    texts = [f"a{chr(i)}!1{chr(i)}{chr(i)}b" for i in range(0x110000) if not 0xD800 <= i < 0xE000]
+    library.no_truncation()
+    assert [t for t, e in zip(texts, library.encode_batch(texts, add_special_tokens=False), strict=True) if codec.encode(t) != e.ids] == []
+
+
 def test_long_pieces_take_the_same_merges():
     codec = bpe.Codec(PATH)
     rng = random.Random(4)

@@ -5,10 +5,12 @@ each adjacent pair. The least rank is searched by a scan, that boundary is delet
 ranks of the two neighbouring pairs are looked up anew. Pieces over `SHORT` symbols, where
 scans would cost the square of the length, take the same merges in the same order from a heap.
 
-Letters that Unicode has assigned only lately are split as the local tables know them.
+Letters, numbers and lower case are as the library's tables of Unicode have them: where the local
+ones differ, SIGNS and LOWER_CASE state it. Every code point gives the library's ids.
 
-Null and empty texts give no tokens. Rows are independent: repeated rows, null keys and
-other columns pass through unchanged.
+Null and empty texts give no tokens, and an empty table none. Very long texts are encoded whole;
+ties of rank go to the leftmost pair. Rows are independent: repeated rows, null keys and other
+columns pass through unchanged; columns named as results are replaced.
 """
 
 from __future__ import annotations
@@ -30,6 +32,16 @@ SHORT = 128
 #: Distinct pieces that a task remembers.
 CACHE = 150_000
 NONE = 1 << 60
+#: Code points (first, last) that are neither letters nor numbers to the library.
+SIGNS = (
+    (0x558, 0x558), (0x58B, 0x58C), (0x88F, 0x88F), (0xC5C, 0xC5C), (0xCDC, 0xCDC), (0x208F, 0x208F), (0x209D, 0x209F), (0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2), (0xA7D4, 0xA7D4), (0xA7DD, 0xA7DD), (0xA7E2, 0xA7E2), (0xA7F1, 0xA7F1),
+    (0xAB6C, 0xAB6D), (0x107BB, 0x107BF), (0x10940, 0x10959), (0x10EC5, 0x10EC7), (0x10ED9, 0x10EEE), (0x11B0A, 0x11B0A), (0x11DB0, 0x11DDB), (0x11DE0, 0x11DE9), (0x11DF1, 0x11DF1), (0x1246F, 0x1246F), (0x12475, 0x1247F),
+    (0x12550, 0x12686), (0x16EA0, 0x16EB8), (0x16EBB, 0x16ED3), (0x16FF2, 0x16FF6), (0x187F8, 0x187FF), (0x18CD6, 0x18CDA), (0x18D09, 0x18D20), (0x18D80, 0x18DF2), (0x18E00, 0x19191), (0x191A0, 0x191D2), (0x1B123, 0x1B128),
+    (0x1B168, 0x1B168), (0x1D6A6, 0x1D6A6), (0x1DF1F, 0x1DF24), (0x1DF2B, 0x1DF81), (0x1DF90, 0x1DF96), (0x1DFCD, 0x1DFFF), (0x1E6C0, 0x1E6DE), (0x1E6E0, 0x1E6E2), (0x1E6E4, 0x1E6E5), (0x1E6E7, 0x1E6ED), (0x1E6F0, 0x1E6F4),
+    (0x1E6FE, 0x1E6FF), (0x2B73A, 0x2B73F), (0x2B81E, 0x2B81E), (0x2CEA2, 0x2CEAD), (0x323B0, 0x33479), (0x3D000, 0x3FC3F),
+)
+#: What the library lower-cases beyond the local tables.
+LOWER_CASE = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B} | {x: x + 0x20 for x in range(0x10D50, 0x10D66)} | {x: x + 0x1B for x in range(0x16EA0, 0x16EB9)}
 
 
 def byte_letters() -> list[str]:
@@ -65,7 +77,13 @@ class Codec:
         self.tokens = {i: t for t, i in (vocab | self.special).items()}
         self.split_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else lambda t: [t]
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.pieces = regex.compile(split["pattern"]["Regex"]).findall
+        pattern = split["pattern"]["Regex"]
+        self.pieces = regex.compile(pattern).findall
+        signs = "".join(f"{chr(a)}-{chr(b)}" for a, b in SIGNS)
+        self.rare = regex.compile(f"[{signs}{''.join(map(chr, LOWER_CASE))}]").search
+        for known, exact in ((r"[\p{L}]", rf"[\p{{L}}--[{signs}]]"), (r"[\p{N}]", rf"[\p{{N}}--[{signs}]]"), (r"[^\s\p{L}\p{N}]", rf"[[^\s\p{{L}}\p{{N}}]||[{signs}]]")):
+            pattern = pattern.replace(known, exact)
+        self.exact_pieces = regex.compile(pattern, regex.V1).findall
         codec = self
 
         class Known(dict):
@@ -125,9 +143,11 @@ class Codec:
                 ids.append(self.special[part])
             elif part:
                 part = unicodedata.normalize("NFC", part)
+                rare = not part.isascii() and self.rare(part)
                 # each character by itself: lower() alone would turn a last sigma
-                part = "σ".join(x.lower() for x in part.split("Σ"))
-                ids += chain.from_iterable(map(self.known.__getitem__, self.pieces(part)))
+                part = "σ".join(x.lower() for x in (part.translate(LOWER_CASE) if rare else part).split("Σ"))
+                pieces = self.exact_pieces if rare else self.pieces
+                ids += chain.from_iterable(map(self.known.__getitem__, pieces(part)))
         return ids
 
     def decode(self, ids) -> str:
