@@ -50,3 +50,25 @@ def test_rows(spark, field):
     got = sorted(len(r.text) for r in H.extract_main_text(frame).collect())
     assert got == [0, 0, 3, 5 * 60000 - 1]
     assert H.extract_main_text(frame.filter("false")).count() == 0
+
+
+def test_deep_and_wide_pages_take_linear_time():
+    import time
+
+    field = H.trained()
+    deep = ["<ul><li>" * 16000 + "end", "<span>" * 16000 + "<div>x</div>" * 16000, "<a><div>" * 8000 + "</a>" * 8000, "".join(f"<div class='c{'abcdefghij'[i % 10]}{'abcdefghij'[i // 10 % 10]}'>" for i in range(16000)) + "x"]
+    for page in deep:
+        start = time.perf_counter()
+        H.main_text(page, field)
+        assert time.perf_counter() - start < 2
+
+
+def test_remembered_elements_are_bounded():
+    for i in range(2 * H.SEEN_ELEMENTS):
+        H.blocks(f"<a href='/{i}'>x</a>")
+    assert H._marks.cache_info().currsize <= H.SEEN_ELEMENTS
+
+
+def test_formulas_stay_in_the_article():
+    page = "<article><h1>Numbers of a kind</h1><p>Let <math><mi>x</mi></math> be a number that we all know. It is one of many.</p></article>"
+    assert "Let x be a number" in H.main_text(page, H.trained())

@@ -11,7 +11,13 @@ the block before; Viterbi finds the best sequence. It is trained by gradient asc
 likelihood on pages that `labelled_pages()` makes with known labels: articles in many layouts with
 menus, headers, footers, sidebars, notices, adverts, forms and comments around and inside.
 
-Null and empty pages give an empty text. Rows are independent; other columns pass through.
+Open elements are kept with their places by tag, and an ancestor's features are taken over once,
+so that a page takes time in proportion to its length, however deep it nests.
+
+Null and empty pages give an empty text, an empty table gives none. Rows are independent: repeated
+rows and pages give equal texts; very long pages are read whole; of equally good label sequences
+the one with less main text is taken. Other columns pass through, a column named as the result is
+replaced.
 """
 
 from __future__ import annotations
@@ -19,7 +25,8 @@ from __future__ import annotations
 import html as entities
 import random
 import re
-from functools import cache
+from bisect import bisect_right
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +37,11 @@ from veilwright.llm._common import map_rows, table
 
 TRAIN_PAGES = 400
 SEED = 20
-SILENT = frozenset("script style noscript template head title svg math iframe object embed canvas audio video select datalist textarea button option map".split())
+#: Start tags whose features a worker remembers.
+SEEN_ELEMENTS = 1 << 14
+#: Characters of attributes from which a start tag is not remembered.
+LONG_ATTRIBUTES = 1 << 10
+SILENT = frozenset("script style noscript template head title svg annotation annotation-xml iframe object embed canvas audio video select datalist textarea button option map".split())
 RAW = frozenset("script style textarea title noscript iframe template".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
@@ -49,7 +60,7 @@ _NAME = re.compile(r"[a-z]+")
 _SPLIT_CASE = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 
 
-@cache
+@lru_cache(SEEN_ELEMENTS)
 def _marks(tag: str, attributes: str) -> tuple[str, ...]:
     """The features that an element gives all blocks in it."""
     found = [f"t:{tag}"] if tag in BLOCK and tag not in ("html", "body", "div", "p") else []
@@ -61,11 +72,57 @@ def _marks(tag: str, attributes: str) -> tuple[str, ...]:
     return tuple(found)
 
 
-def blocks(page: str | None) -> list[tuple[str, tuple[str, ...], str, float]]:
-    """(text, ancestors' features, own tag, share of its characters in links) of each block."""
+class Stack:
+    """The open elements, with the places of each tag, of block elements and of scopes."""
+
+    def __init__(self):
+        self.items: list[tuple[str, tuple[str, ...], bool]] = []  # tag, features of it and all above, no text in it
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        self.scopes: list[int] = []
+
+    def push(self, tag: str, marks: tuple[str, ...], silent: bool) -> None:
+        at = len(self.items)
+        self.items.append((tag, marks, silent))
+        self.places.setdefault(tag, []).append(at)
+        if tag in BLOCK:
+            self.blocks.append(at)
+        if tag in SCOPE:
+            self.scopes.append(at)
+
+    def pop(self) -> str:
+        tag = self.items.pop()[0]
+        if tag:
+            self.places[tag].pop()
+            if tag in BLOCK:
+                self.blocks.pop()
+            if tag in SCOPE:
+                self.scopes.pop()
+        return tag
+
+    def last(self, tag: str) -> int:
+        """The place of the innermost open element of a tag, or -1."""
+        found = self.places.get(tag)
+        return found[-1] if found else -1
+
+    def forget(self, tag: str) -> None:
+        """The innermost one of a tag counts as closed, though others are open in it."""
+        at = self.places[tag].pop()
+        self.items[at] = ("", *self.items[at][1:])
+
+    def closed_by(self, tag: str) -> int | None:
+        """The outermost element of the present scope that an opening tag closes."""
+        base = self.scopes[-1] if self.scopes else -1
+        firsts = [p[i] for t in CLOSES.get(tag, ()) if (p := self.places.get(t)) and (i := bisect_right(p, base)) < len(p)]
+        return min(firsts, default=None)
+
+
+def blocks(page: str | None, known=None) -> list[tuple[str, tuple[str, ...], str, float]]:
+    """(text, ancestors' features, own tag, share of its characters in links) of each block. known: the features that matter."""
     page = page or ""
     found: list[tuple[str, tuple[str, ...], str, float]] = []
-    stack: list[tuple[str, tuple[str, ...], bool]] = []  # tag, features of it and all above, no text in it
+    stack = Stack()
+    items = stack.items
     text: list[str] = []
     linked, links, at, size = 0, 0, 0, len(page)
 
@@ -75,22 +132,26 @@ def blocks(page: str | None) -> list[tuple[str, tuple[str, ...], str, float]]:
             whole = entities.unescape("".join(text))
             flat = " ".join(whole.split())
             if flat:
-                tag = next((t for t, _, _ in reversed(stack) if t in BLOCK), "")
-                found.append((flat, stack[-1][1] if stack else (), tag, linked / max(1, len(whole))))
+                tag = items[stack.blocks[-1]][0] if stack.blocks else ""
+                found.append((flat, items[-1][1] if items else (), tag, linked / max(1, len(whole))))
             text.clear()
         linked = 0
 
-    def pop():
+    def close(upto: int, flushing: bool):
+        """Closes the elements from a place on."""
         nonlocal links
-        if stack.pop()[0] == "a":
-            links -= 1
+        while len(items) > upto:
+            if flushing and items[-1][0] in BLOCK:
+                flush()
+            if stack.pop() == "a":
+                links -= 1
 
     while at < size:
         lt = page.find("<", at)
         if lt < 0:
             lt = size
         if lt > at:
-            if not (stack and stack[-1][2]):
+            if not (items and items[-1][2]):
                 text.append(page[at:lt])
                 if links:
                     linked += lt - at
@@ -98,7 +159,7 @@ def blocks(page: str | None) -> list[tuple[str, tuple[str, ...], str, float]]:
             continue
         m = _TAG.match(page, at)
         if not m:
-            if not (stack and stack[-1][2]):
+            if not (items and items[-1][2]):
                 text.append("<")
             at += 1
             continue
@@ -108,29 +169,19 @@ def blocks(page: str | None) -> list[tuple[str, tuple[str, ...], str, float]]:
             continue
         tag = tag.lower()
         if m[1]:
+            k = stack.last(tag)
             if tag == "br":
                 text.append(" ")
-            elif tag == "p" and not any(t == "p" for t, _, _ in stack):
-                flush()
-            elif any(t == tag for t, _, _ in stack):
-                if tag in BLOCK or tag in SILENT:
-                    while any(t in BLOCK for t, _, _ in stack[_last(stack, tag) :]) and stack[-1][0] != tag:
-                        if stack[-1][0] in BLOCK:
-                            flush()
-                        pop()
-                    if tag in BLOCK:
-                        flush()
-                    while stack[-1][0] != tag:
-                        pop()
-                    pop()
-                else:
-                    k = _last(stack, tag)
-                    if not any(t in BLOCK for t, _, _ in stack[k:]):
-                        while len(stack) > k:
-                            pop()
-                    elif tag == "a":
-                        links = max(0, links - 1)
-                        stack[k] = ("", stack[k][1], stack[k][2])
+            elif k < 0:
+                if tag == "p":
+                    flush()
+            elif tag in BLOCK or tag in SILENT:
+                close(k, True)
+            elif not stack.blocks or stack.blocks[-1] < k:
+                close(k, False)
+            elif tag == "a":
+                links = max(0, links - 1)
+                stack.forget(tag)
             continue
         if tag in ("br", "hr", "wbr"):
             if tag == "hr":
@@ -140,7 +191,7 @@ def blocks(page: str | None) -> list[tuple[str, tuple[str, ...], str, float]]:
             continue
         if tag in VOID:
             continue
-        silent = bool(stack and stack[-1][2])
+        silent = bool(items and items[-1][2])
         if tag in RAW:
             end = re.compile(rf"</{tag}\s*(?:>|\Z)", re.I).search(page, at)
             at = end.end() if end else size
@@ -148,38 +199,26 @@ def blocks(page: str | None) -> list[tuple[str, tuple[str, ...], str, float]]:
         if m[3].endswith("/>") and tag not in BLOCK:
             continue
         if tag in BLOCK:
-            closes = CLOSES.get(tag, ())
-            k = len(stack) - 1
-            upto = None
-            while k >= 0 and stack[k][0] not in SCOPE:
-                if stack[k][0] in closes:
-                    upto = k
-                k -= 1
-            if k >= 0 and stack[k][0] in closes:
-                upto = k
+            upto = stack.closed_by(tag)
             flush()
             if upto is not None:
-                while len(stack) > upto:
-                    pop()
+                close(upto, False)
         if tag == "a":
             links += 1
-        above = stack[-1][1] if stack else ()
-        marks = _marks(tag, m[3])
-        stack.append((tag, above + marks if marks else above, silent or tag in SILENT))
+        above = items[-1][1] if items else ()
+        own = _marks(tag, m[3]) if len(m[3]) < LONG_ATTRIBUTES else _marks.__wrapped__(tag, m[3])
+        marks = tuple(x for x in own if (known is None or x in known) and x not in above)
+        stack.push(tag, above + marks if marks else above, silent or tag in SILENT)
     flush()
     return found
 
 
-def _last(stack: list, tag: str) -> int:
-    return max(i for i, x in enumerate(stack) if x[0] == tag)
-
-
 def features(page: list[tuple[str, tuple[str, ...], str, float]]) -> list[list[str]]:
     out = []
     for text, marks, tag, linked in page:
         n = len(text)
         f = ["bias", f"own:{tag}", f"len:{min(8, n.bit_length())}"]
-        f += dict.fromkeys(marks)
+        f += marks
         if linked > 0.5:
             f.append("links")
         if text[-1] in ".!?…":
@@ -370,7 +409,7 @@ def trained() -> Field:
 
 
 def main_text(page: str | None, field: Field) -> str:
-    found = blocks(page)
+    found = blocks(page, field.weights)
     return "\n\n".join(b[0] for b, y in zip(found, field.decode(features(found)), strict=True) if y)
 
 
