@@ -78,3 +78,28 @@ def test_plan_is_native(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     plan = D.decontaminate(docs, docs.withColumnRenamed("doc_id", "item_id"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_clashing_columns_and_a_full_bitmap(spark, monkeypatch):
+    """Any names pass through; a bitmap that lets everything through changes nothing."""
+    monkeypatch.setattr(D, "MAX_MAP", 1)
+    names = ["_w", "_text", "_own", "_hits", "_places", "h", "gram", "items", "k"]
+    rows = [(i, "one two three four five six seven eight nine ten eleven" if i % 3 else "clean words only", *(f"{n}{i}" for n in names)) for i in range(9)]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", *names])
+    bench = spark.createDataFrame([(i, f"two three four five six seven eight nine ten eleven w{i}") for i in range(200)], "item_id long, text string")
+    for most in (D.MAX_WINDOWS, 1):
+        got = D.decontaminate(docs, bench, max_windows=most).collect()
+        assert all(r[n] == f"{n}{r.doc_id}" for r in got for n in names)
+        assert all(r.n_hit == (10 if r.doc_id % 3 else 0) and len(r.item_ids) == (200 if r.doc_id % 3 else 0) for r in got)
+
+
+def test_larger_benchmark_against_hash_set(spark):
+    """A benchmark of thousands of windows gives the same by the set and by the bitmap and the join."""
+    rng = random.Random(9)
+    items = [(i, " ".join(f"v{rng.randint(0, 400)}" for _ in range(60))) for i in range(120)]
+    docs = [(i, " ".join(f"v{rng.randint(0, 400)}" for _ in range(200))) for i in range(60)]
+    docs += [(100 + i, docs[i][1] + " " + " ".join(items[i][1].split()[5:30])) for i in range(40)] * 2
+    frame, bench = spark.createDataFrame(docs, "doc_id long, text string").repartition(4), spark.createDataFrame(items, "item_id long, text string")
+    take = lambda most: sorted((r.doc_id, r.n_words, r.n_hit, tuple(r.item_ids)) for r in D.decontaminate(frame, bench, max_windows=most).collect())
+    assert take(D.MAX_WINDOWS) == take(100)
+    assert sum(x[2] for x in take(100)) >= 80 * 25

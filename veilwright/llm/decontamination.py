@@ -6,12 +6,16 @@ shorter one gives itself as one window. Their 64-bit hashes are a set of constan
 task holds; each window of a document is looked up in it, and what hits is compared word by
 word with the benchmark's windows. A document word in any verified window is hit.
 
-The set is only shipped while the benchmark has at most `max_windows` distinct windows; a larger
-one is joined with the documents' windows by their hash instead, with the same result.
+The set itself is only shipped while the benchmark has at most `max_windows` distinct windows. Of a
+larger one a bitmap of their hashes is shipped, of MAP_BITS for each window and 8 MB at most; the
+windows of documents that it lets through leave their task, once for each distinct text, and are
+joined with the benchmark's windows. The result is the same.
 
 Everything is DataFrame expressions. Null and empty texts have no words and are clean; items
 without words never occur; repeated rows of documents are each judged; repeated items count
-once for each distinct item id; other columns pass through. Items without an id are left out
+once for each distinct item id; overlapping hits count their words once; very long texts are scanned
+whole; an empty table gives none, and an empty benchmark no hit. Other columns pass through,
+whatever their names; those named as results are replaced. Items without an id are left out
 unless `unnamed` is true, as it is in the query and the pipeline: then their windows hit like any
 other, and only item_ids has no entry for them.
 """
@@ -23,11 +27,13 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilwright.llm._common import ascii_lower, cut, table
+from veilwright.llm._common import ascii_lower, cut, packed, table, unpacked
 
 WINDOW = 10
 #: Distinct benchmark windows up to which the set is shipped with the tasks (about 100 bytes each).
 MAX_WINDOWS = 100_000
+#: Bits of the bitmap for each window of a larger benchmark, and the most 64-bit words it may have.
+MAP_BITS, MAX_MAP = 16, 1 << 20
 NON_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Buckets of the table in which a hit is compared.
 BUCKETS = 4096
@@ -69,7 +75,7 @@ def _cover(spans: Column) -> Column:
 
 
 def _finish(frame: DataFrame, n_words: Column, hits: str, keep: list[str]) -> DataFrame:
-    """hits: array of struct(from, to, items)."""
+    """hits: array of struct(from, to, items). keep: what _own holds."""
     spans = F.sort_array(F.transform(hits, lambda h: F.struct(h["from"].alias("from"), h["to"].alias("to"))))
     found = F.sort_array(F.array_distinct(F.flatten(F.transform(hits, lambda h: h["items"]))))
     none = F.size(hits) == 0
@@ -77,7 +83,7 @@ def _finish(frame: DataFrame, n_words: Column, hits: str, keep: list[str]) -> Da
     ids = F.when(none, F.array().cast("array<string>")).otherwise(found)
     places = F.when(none, F.array().cast("array<struct<from:int,to:int>>")).otherwise(spans)
     # a generator, so that a filter on the result doesn't repeat all this in its condition
-    out = frame.select(*keep, F.inline(F.array(F.struct(n_words.alias("n_words"), n_hit.alias("n_hit"), ids.alias("item_ids"), places.alias("spans")))))
+    out = frame.select(*unpacked(keep), F.inline(F.array(F.struct(n_words.alias("n_words"), n_hit.alias("n_hit"), ids.alias("item_ids"), places.alias("spans")))))
     return out.withColumn("contaminated", F.col("n_hit") > 0)
 
 
@@ -86,7 +92,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", item_id
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("n_words", "n_hit", "item_ids", "spans", "contaminated")]
     grams = benchmark_windows(items, item_id, item_text, window, unnamed)
     held = grams.limit(max_windows + 1).collect()
-    base = docs.select(*keep, words_of(F.col(text)).alias("_w"))
+    base = docs.select(packed(docs, keep), words_of(F.col(text)).alias("_w"))
     if len(held) > max_windows:
         return _joined(base, cut(grams), keep)
     n = F.size("_w")
@@ -119,25 +125,44 @@ def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", item_id
     return _finish(found.withColumn("_hits", hits), n.cast("long"), "_hits", keep)
 
 
+def _bitmap(grams: DataFrame) -> tuple[Column, int]:
+    """The bits of the hashes of grams (h) as an array of longs, a constant of the plan, and their number."""
+    n = grams.count()
+    size = min(MAX_MAP, 1 << max(6, (n * MAP_BITS // 64).bit_length()))
+    bits = size * 64
+    at = F.pmod("h", F.lit(bits))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(at, F.lit(64)).cast("int"))
+    words = [0] * size
+    for r in grams.groupBy(F.floor(at / 64).cast("int").alias("i")).agg(F.bit_or(one).alias("b")).toLocalIterator():
+        words[r["i"]] = r["b"]
+    return F.from_json(F.lit(json.dumps(words)), "array<bigint>"), bits
+
+
 def _joined(base: DataFrame, grams: DataFrame, keep: list[str]) -> DataFrame:
-    """The same for a benchmark of any size: windows meet by hash, whatever the sizes of both sides.
+    """The same for a benchmark of any size: windows that its bitmap lets through meet it by hash and text.
 
     Hits are found once for each distinct text, so that repeated rows need no key of their own.
     """
     lengths = [r["k"] for r in grams.select("k").distinct().collect()]
+    grams = cut(grams.withColumn("h", _hash(F.split("gram", " "))))
+    held, bits = _bitmap(grams)
     base = base.withColumn("_text", F.sha2(F.array_join("_w", " "), 256))
-    texts = base.select("_text", "_w").dropDuplicates(["_text"])
     n = F.size("_w")
 
+    def known(h: Column) -> Column:
+        at = F.pmod(h, F.lit(bits))
+        return F.get(held, F.floor(at / 64).cast("int")).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(at, F.lit(64)).cast("int"))) != 0
+
     def windows(k: int) -> Column:
-        found = F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.struct(i.alias("at"), F.lit(k).alias("k"), F.array_join(F.slice("_w", i, F.lit(k)), " ").alias("gram")))
+        found = F.filter(F.sequence(F.lit(1), n - k + 1), lambda i: known(_hash(F.slice("_w", i, F.lit(k)))))
+        found = F.transform(found, lambda i: F.struct(i.alias("at"), F.lit(k).alias("k"), F.array_join(F.slice("_w", i, F.lit(k)), " ").alias("gram")))
         return F.when(n >= k, found).otherwise(F.array().cast("array<struct<at:int,k:int,gram:string>>"))
 
     every = F.concat(*map(windows, lengths))
-    places = texts.select("_text", F.explode(every).alias("p")).select("_text", "p.*")
-    hits = places.join(grams.select("gram", "items"), "gram").groupBy("_text").agg(F.collect_list(F.struct((F.col("at") - 1).alias("from"), (F.col("at") - 1 + F.col("k")).alias("to"), "items")).alias("_found"))
+    places = base.select("_text", F.explode(every).alias("p")).select("_text", "p.*").distinct().withColumn("h", _hash(F.split("gram", " ")))
+    hits = places.join(grams.select("h", "gram", "items"), ["h", "gram"]).groupBy("_text").agg(F.collect_list(F.struct((F.col("at") - 1).alias("from"), (F.col("at") - 1 + F.col("k")).alias("to"), "items")).alias("_found"))
     none = F.array().cast("array<struct<from:int,to:int,items:array<string>>>")
-    all_ = base.select(*keep, n.cast("long").alias("_n"), "_text")
+    all_ = base.select("_own", n.cast("long").alias("_n"), "_text")
     return _finish(all_.join(hits, "_text", "left").withColumn("_hits", F.coalesce("_found", none)), F.col("_n"), "_hits", keep)
 
 
