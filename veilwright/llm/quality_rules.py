@@ -246,7 +246,7 @@ def estimates(rows: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     prior = [float(whole[f"s{i}"]) if whole and whole[f"s{i}"] is not None else 0.0 for i in range(P)]
     now = cut(_starts(rows, cut(_join(_quartiles(rows, GROUP), means)), prior))
     for _ in range(FIRST_STEPS):
-        now = _step(rows, now, coverage, prior)
+        now = cut(_step(rows, now, coverage, prior))
     best = F.row_number().over(Window.partitionBy(*GROUP).orderBy("logdet", "_start"))
     now = cut(now.withColumn("_rank", best).filter(F.col("_rank") <= BEST).drop("_rank"))
     for _ in range(MOST_STEPS):
