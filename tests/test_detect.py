@@ -91,7 +91,9 @@ def test_gates_are_necessary(spark):
     try:
         D.GATES.update(dict.fromkeys(gates, ""))
         D.SIX_DIGITS = D.DIGITS = ""
+        D._detector.cache_clear()
         assert run(spark, texts) == got
     finally:
         D.GATES.update(gates)
         D.SIX_DIGITS, D.DIGITS = six, digits
+        D._detector.cache_clear()

@@ -14,19 +14,25 @@ from __future__ import annotations
 import re
 from collections.abc import Collection, Iterable
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 from pyspark.sql import Column
-from pyspark.sql import functions as F
+from pyspark.sql import functions as PF
 
 from veilwright.functions import fixed as X
+from veilwright.functions import sqltext as F
 from veilwright.functions import validators as V
 from veilwright.functions.columns import let, only_digits
+from veilwright.functions.sqltext import Sql, apply, lambda_text, parsed
 
 OPEN, SHUT, SAFE = "\x01", "\x02", ""
 SPAN = "struct<start:int,value:string,before:string,after:string>"
 RANKED = "struct<type:string,value:string,start:int,end:int,confidence:double,rank:int,ordinal:int>"
 DETECTION = "struct<type:string,value:string,start:int,end:int,confidence:double>"
+BARE_SPAN = "struct<start:int,value:string>"
 CONTEXT = 64
+#: Types whose checks look at what stands around a match.
+_IN_CONTEXT = frozenset(["TR_PHONE", "SWIFT_BIC"])
 
 
 @dataclass(frozen=True)
@@ -99,7 +105,7 @@ _NEED_SIX = frozenset(
 )
 
 
-def _passes(t: Column, low: Column, gate) -> Column:
+def _passes(t: Sql, low: Sql, gate) -> Sql:
     if isinstance(gate, str):
         return F.rlike(t, F.lit(gate))
     found = None
@@ -115,58 +121,70 @@ def spans(text: Column, pattern: str, grouped: bool = False) -> Column:
     grouped: the value is the second group, after the first. Marks are put around the values and
     the text is split at them: odd parts are values, and the lengths before them their places.
     """
-    marked = F.regexp_replace(text, pattern, f"$1{OPEN}$2{SHUT}" if grouped else f"{OPEN}$0{SHUT}")
+    return apply(lambda t: let(_parts(t, pattern, grouped), lambda parts: _spans(parts, _no_spans(True), True)), text)
 
-    def step(state: Column, part: Column, parts: Column) -> Column:
+
+def _parts(text: Sql, pattern: str, grouped: bool) -> Sql:
+    return F.split(F.regexp_replace(text, pattern, f"$1{OPEN}$2{SHUT}" if grouped else f"{OPEN}$0{SHUT}"), f"[{OPEN}{SHUT}]")
+
+
+def _no_spans(context: bool) -> Sql:
+    return F.array().cast(f"array<{SPAN if context else BARE_SPAN}>")
+
+
+def _spans(parts: Sql, none: Sql, context: bool) -> Sql:
+    """The spans of a text that is split at its marks; context: with what stands before and after them."""
+
+    def step(state: Sql, part: Sql) -> Sql:
         i = state["i"]
-        found = F.struct(state["at"].alias("start"), part.alias("value"), F.right(F.get(parts, i - 1), F.lit(CONTEXT)).alias("before"), F.left(F.get(parts, i + 1), F.lit(CONTEXT)).alias("after"))
+        around = [F.right(F.get(parts, i - 1), CONTEXT).alias("before"), F.left(F.get(parts, i + 1), CONTEXT).alias("after")] if context else []
+        found = F.struct(state["at"].alias("start"), part.alias("value"), *around)
         return F.struct((i + 1).alias("i"), (state["at"] + F.char_length(part)).alias("at"), F.when(i % 2 == 1, F.concat(state["found"], F.array(found))).otherwise(state["found"]).alias("found"))
 
-    start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("found"))
-    return let(F.split(marked, f"[{OPEN}{SHUT}]"), lambda parts: F.when(F.size(parts) > 1, F.aggregate(parts, start, lambda s, p: step(s, p, parts), lambda s: s["found"])).otherwise(F.array().cast(f"array<{SPAN}>")))
+    return F.aggregate(parts, F.struct(F.lit(0).alias("i"), F.lit(0).alias("at"), none.alias("found")), step, lambda s: s["found"])
 
 
-def _made(kind: str, s: Column, value: Column | None = None, start: Column | None = None, confidence: Column | None = None) -> Column:
+def _made(kind: str, s: Sql, value: Sql | None = None, start: Sql | None = None, confidence: Sql | None = None) -> Sql:
     value = s["value"] if value is None else value
     start = s["start"] if start is None else start
     d = CATALOG[kind]
     return F.struct(
         F.lit(kind).alias("type"), value.alias("value"), start.alias("start"), (start + F.char_length(value)).alias("end"),
-        (F.lit(d.confidence) if confidence is None else confidence).cast("double").alias("confidence"), F.lit(d.rank).alias("rank"), F.lit(ORDINALS[kind]).alias("ordinal"),
-    ).cast(RANKED)
+        (F.lit(d.confidence) if confidence is None else confidence).alias("confidence"), F.lit(d.rank).alias("rank"), F.lit(ORDINALS[kind]).alias("ordinal"),
+    )
 
 
-def _trimmed(s: Column) -> tuple[Column, Column]:
+def _trimmed(s: Sql) -> tuple[Sql, Sql]:
     """The value without white space at its ends, and its place."""
     left = F.char_length(s["value"]) - F.char_length(F.regexp_replace(s["value"], r"^\s+", ""))
     return F.regexp_replace(s["value"], r"^\s+|\s+$", ""), s["start"] + left
 
 
-def _tr_phone(s: Column) -> Column:
+def _tr_phone(s: Sql) -> Sql:
     n = F.char_length(only_digits(s["value"]))
     left, right = F.char_length(F.regexp_extract(s["before"], "([0-9]*)$", 1)), F.char_length(F.regexp_extract(s["after"], "^([0-9]*)", 1))
     return n.between(10, 13) & (left + n + right <= 14)
 
 
-def _us_phone(s: Column) -> Column:
+def _us_phone(s: Sql) -> Sql:
     return F.rlike(only_digits(s["value"]), F.lit("^1?[0-9](?!11)[0-9]{9}$"))
 
 
-def _intl_phone(s: Column) -> Column:
+def _intl_phone(s: Sql) -> Sql:
     return F.char_length(only_digits(s["value"])).between(7, 15)
 
 
-def _bic(s: Column) -> Column:
+def _bic(s: Sql) -> Sql:
     near = F.concat(F.right(s["before"], F.lit(24)), s["value"], F.left(s["after"], F.lit(24)))
     return V.is_valid_bic(s["value"]) & ((F.char_length(s["value"]) != 8) | F.rlike(near, F.lit("(?i)swift|bic|bank|rout")))
 
 
-def _loose(s: Column) -> Column:
+def _loose(s: Sql) -> Sql:
     """A loose value without the words without digits at its end."""
     return F.regexp_replace(F.regexp_replace(s["value"], r"[\s\"']+$", ""), r"(?: [^ 0-9]*)+$", "")
 
 
-def _checked(kind: str, found: Column) -> Column:
+def _checked(kind: str, found: Sql) -> Sql:
     """The detections of a type among the spans of its pattern."""
     none = lambda s: F.lit(True)
     if kind in V.CHECKS and kind not in ("BTC_ADDRESS", "SWIFT_BIC", "FR_NIR", "CREDIT_CARD", "IBAN"):
@@ -194,11 +212,11 @@ def _checked(kind: str, found: Column) -> Column:
     return F.transform(F.filter(found, check), lambda s: _made(kind, s))
 
 
-def _passports(found: Column) -> Column:
+def _passports(found: Sql) -> Sql:
     """A P line with a valid line right after it, as one; a valid line of another kind by itself."""
     kind = "PASSPORT"
 
-    def one(s: Column, i: Column) -> Column:
+    def one(s: Sql, i: Sql) -> Sql:
         after = F.get(found, i + 1)
         pair = F.rlike(s["value"], F.lit("^P")) & F.coalesce((after["start"] == s["start"] + 45) & V.is_valid_mrz_line2(after["value"]), F.lit(False))
         before = F.get(found, i - 1)
@@ -218,10 +236,10 @@ def _label_pattern(kind: str) -> str:
     return X.PATTERNS[kind].replace(")((?iu:[", f"){barred}((?iu:[", 1)
 
 
-def resolve(found: Column) -> Column:
+def resolve(found: Sql) -> Sql:
     """Of overlapping detections the best, in order of place."""
 
-    def before(x: Column, y: Column) -> Column:
+    def before(x: Sql, y: Sql) -> Sql:
         length = lambda d: d["end"] - d["start"]
         key = lambda d: F.struct(-d["confidence"], -d["rank"], -length(d), d["start"], d["ordinal"])
         return F.when(key(x) < key(y), -1).when(key(x) > key(y), 1).otherwise(0)
@@ -243,43 +261,58 @@ def detect(text: Column, regions: str | Collection[str] = "ALL", types: Iterable
         if unknown := sorted(wanted - {*CATALOG}):
             raise ValueError(f"unknown types {', '.join(unknown)}")
         chosen = [t for t in chosen if t in wanted]
-    rules = list(rules)
     named = normalize_regions(regions)
-    rules = [r for r in rules if "ALL" in named or r.region.upper() in named or r.region.upper() == "GLOBAL"]
-    empty = F.array().cast(f"array<{RANKED}>")
+    rules = tuple(r for r in rules if "ALL" in named or r.region.upper() in named or r.region.upper() == "GLOBAL")
+    return parsed(_detector(tuple(chosen), rules), PF.translate(PF.coalesce(text, PF.lit("")), OPEN + SHUT, SAFE))
+
+
+@lru_cache(32)
+def _detector(chosen: tuple[str, ...], rules: tuple[CustomRule, ...]) -> str:
+    """The detections of a text without marks, as a lambda function in SQL; it depends on nothing else."""
     by_search: dict = {}
     for t in chosen:
         loose = t in ("DRIVERS_LICENSE", "HEALTH_INSURANCE_ID")
         by_search.setdefault((GATES[t], _label_pattern(t) if loose else X.PATTERNS[t]), []).append(t)
 
-    def search(t: Column, pattern: str, kinds: list[str]) -> Column:
-        grouped = kinds[0] in ("GENERIC_API_KEY", "IMEI", "DRIVERS_LICENSE", "HEALTH_INSURANCE_ID")
-        return let(spans(t, pattern, grouped), lambda found: F.when(F.size(found) > 0, F.flatten(F.array(*(_checked(k, found) for k in kinds)))).otherwise(empty))
+    def made(t: Sql, low: Sql, none: Sql, bare: Sql) -> Sql:
+        """none: no detections. bare: no spans."""
+
+        def search(pattern: str, kinds: list[str]) -> Sql:
+            grouped = kinds[0] in ("GENERIC_API_KEY", "IMEI", "DRIVERS_LICENSE", "HEALTH_INSURANCE_ID")
+            context = not _IN_CONTEXT.isdisjoint(kinds)
+            every = lambda found: _joined([_checked(k, found) for k in kinds])
+            some = lambda parts: let(_spans(parts, _no_spans(True) if context else bare, context), every)
+            return let(_parts(t, pattern, grouped), lambda parts: F.when(F.size(parts) > 1, some(parts)).otherwise(none))
 
-    def gated(t: Column, low: Column, wanted: list) -> list[Column]:
-        by_gate: dict = {}
-        for gate, pattern in wanted:
-            by_gate.setdefault(gate, []).append((gate, pattern))
-        return [F.when(_passes(t, low, gate), F.flatten(F.array(*(search(t, p[1], by_search[p]) for p in ps)))).otherwise(empty) for gate, ps in by_gate.items()]
+        def gated(wanted: list) -> list[Sql]:
+            by_gate: dict = {}
+            for gate, pattern in wanted:
+                by_gate.setdefault(gate, []).append((gate, pattern))
+            return [F.when(_passes(t, low, gate), _joined([search(p[1], by_search[p]) for p in ps])).otherwise(none) for gate, ps in by_gate.items()]
 
-    def custom(t: Column, i: int, r: CustomRule) -> Column:
-        confidence = min(1.0, max(0.01, float(r.confidence)))
-        made = lambda s: F.struct(F.lit(r.id).alias("type"), s["value"].alias("value"), s["start"].alias("start"), (s["start"] + F.char_length(s["value"])).alias("end"), F.lit(confidence).alias("confidence"), F.lit(0).alias("rank"), F.lit(len(CATALOG) + i).alias("ordinal")).cast(RANKED)
-        return F.transform(spans(t, r.pattern), made)
+        def custom(i: int, r: CustomRule) -> Sql:
+            confidence = min(1.0, max(0.01, float(r.confidence)))
+            one = lambda s: F.struct(F.lit(r.id).alias("type"), s["value"].alias("value"), s["start"].alias("start"), (s["start"] + F.char_length(s["value"])).alias("end"), F.lit(confidence).alias("confidence"), F.lit(0).alias("rank"), F.lit(len(CATALOG) + i).alias("ordinal"))
+            return let(_parts(t, r.pattern, False), lambda parts: F.transform(_spans(parts, bare, False), one))
 
-    def whole(t: Column, low: Column) -> Column:
-        parts, left = [custom(t, i, r) for i, r in enumerate(rules)], list(by_search)
+        parts, left = [custom(i, r) for i, r in enumerate(rules)], list(by_search)
         for bound, kinds in ((SIX_DIGITS, _NEED_SIX), (DIGITS, _NEED_DIGIT)):
             own = [k for k in left if all(x in kinds for x in by_search[k])]
             left = [k for k in left if k not in own]
             if own:
-                parts.append(F.when(F.rlike(t, F.lit(bound)), F.flatten(F.array(*gated(t, low, own)))).otherwise(empty))
-        parts += gated(t, low, left)
-        return let(F.flatten(F.array(*parts)) if parts else empty, lambda found: F.when(F.size(found) > 0, resolve(found)).otherwise(F.array().cast(f"array<{DETECTION}>")))
+                parts.append(F.when(F.rlike(t, bound), _joined(gated(own))).otherwise(none))
+        return _joined([*parts, *gated(left)]) if parts or left else none
+
+    def whole(t: Sql, low: Sql) -> Sql:
+        found = let(F.array().cast(f"array<{RANKED}>"), lambda none: let(_no_spans(False), lambda bare: made(t, low, none, bare)))
+        return let(found, lambda found: F.when(F.size(found) > 0, resolve(found)).otherwise(F.array().cast(f"array<{DETECTION}>")))
 
-    clean = F.translate(F.coalesce(text, F.lit("")), OPEN + SHUT, SAFE)
     # case-blind patterns also match two letters that have no lower case of their own
-    return let(clean, lambda t: let(F.translate(F.lower(t), "ıſ", "is"), lambda low: whole(t, low)))
+    return lambda_text(lambda t: let(F.translate(F.lower(t), "ıſ", "is"), lambda low: whole(t, low)))
+
+
+def _joined(parts: list[Sql]) -> Sql:
+    return parts[0] if len(parts) == 1 else F.concat(*parts)
 
 
 def catalog_frame(spark):

@@ -10,13 +10,12 @@ from __future__ import annotations
 import hashlib
 import hmac
 import secrets
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilwright.functions import fixed as X
-from veilwright.functions.columns import let
-from veilwright.functions.columns import only_digits as _digits
 
 MODES = ("mask", "redact", "hash", "pseudonymize", "vault", "fpe", "noise")
 MASK_OF = {t: m for m, ts in X.MASKS.items() for t in ts.split()}
@@ -26,6 +25,15 @@ BLOCK = 64
 STREAM_BLOCK = 32
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with the value computed once wherever `then` uses it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _digits(v: Column) -> Column:
+    return F.regexp_replace(v, r"\D", "")
+
+
 def new_salt(size: int = 16) -> str:
     return secrets.token_hex(size)
 
