@@ -55,6 +55,15 @@ def byte_letters() -> list[str]:
     return [letters[b] for b in range(256)]
 
 
+def _is_latin(text: str) -> bool:
+    """Whether all code points are under 256, which is quickly told."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class Codec:
     """A byte-level BPE vocabulary with a word-end suffix, as its JSON file describes it."""
 
@@ -80,7 +89,7 @@ class Codec:
         pattern = split["pattern"]["Regex"]
         self.pieces = regex.compile(pattern).findall
         signs = "".join(f"{chr(a)}-{chr(b)}" for a, b in SIGNS)
-        self.rare = regex.compile(f"[{signs}{''.join(map(chr, LOWER_CASE))}]").search
+        self.rare = frozenset(chr(x) for a, b in SIGNS for x in range(a, b + 1)) | frozenset(map(chr, LOWER_CASE))
         for known, exact in ((r"[\p{L}]", rf"[\p{{L}}--[{signs}]]"), (r"[\p{N}]", rf"[\p{{N}}--[{signs}]]"), (r"[^\s\p{L}\p{N}]", rf"[[^\s\p{{L}}\p{{N}}]||[{signs}]]")):
             pattern = pattern.replace(known, exact)
         self.exact_pieces = regex.compile(pattern, regex.V1).findall
@@ -143,7 +152,7 @@ class Codec:
                 ids.append(self.special[part])
             elif part:
                 part = unicodedata.normalize("NFC", part)
-                rare = not part.isascii() and self.rare(part)
+                rare = not part.isascii() and not _is_latin(part) and not self.rare.isdisjoint(part)
                 # each character by itself: lower() alone would turn a last sigma
                 part = "σ".join(x.lower() for x in (part.translate(LOWER_CASE) if rare else part).split("Σ"))
                 pieces = self.exact_pieces if rare else self.pieces
