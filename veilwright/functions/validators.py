@@ -408,9 +408,14 @@ def is_base58_native(v: Sql) -> Sql:
     def check(x: Sql) -> Sql:
         number_ = F.aggregate(chars(x), F.array_repeat(F.lit(0).cast("bigint"), parts), step)
         bits = F.array_join(F.transform(F.reverse(number_), lambda n: F.lpad(F.bin(n), 30, "0")), "")
-        # 210 bits: the low 200 are the address, one version byte, a hash and four bytes of checksum
-        hexed = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(24)), lambda i: F.lpad(F.conv(F.substring(bits, i * 8 + 11, F.lit(8)), 2, 16), 2, "0")), "")
-        return (F.left(bits, F.lit(10)) == "0" * 10) & (F.left(F.lower(_double_sha(F.left(hexed, F.lit(42)))), F.lit(8)) == F.lower(F.right(hexed, F.lit(8))))
+        return let(bits, lambda b: F.when(F.left(b, 10) == "0" * 10, let(_hexed(b), sound)).otherwise(no()))
+
+    # 210 bits: the low 200 are the address, one version byte, a hash and four bytes of checksum
+    def _hexed(bits: Sql) -> Sql:
+        return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(24)), lambda i: F.lpad(F.conv(F.substring(bits, i * 8 + 11, F.lit(8)), 2, 16), 2, "0")), "")
+
+    def sound(hexed: Sql) -> Sql:
+        return F.left(F.lower(_double_sha(F.left(hexed, F.lit(42)))), F.lit(8)) == F.lower(F.right(hexed, F.lit(8)))
 
     # a leading 1 stands for a zero byte: as many as the number has beyond its length
     return shaped(F.regexp_replace(v, r"^\s+|\s+$", ""), "[13][a-km-zA-HJ-NP-Z1-9]{25,34}", check)
