@@ -9,11 +9,12 @@ import sys
 def main(args: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="veilwright")
     commands = parser.add_subparsers(dest="command", required=True)
-    scan = commands.add_parser("scan", help="report what a file or folder of one kind holds")
+    scan = commands.add_parser("scan", help="report what a file or folder holds")
     scan.add_argument("path")
     scan.add_argument("--regions", default="ALL")
     scan.add_argument("--rules", help="a JSON or YAML file of custom rules")
-    scan.add_argument("--format", choices=["json", "sarif", "html"], default="json")
+    scan.add_argument("--format", choices=["json", "sarif", "html", "table"], default="json")
+    scan.add_argument("--limit", type=int, help="scan at most so many units")
     scan.add_argument("--fail-at", type=int, help="exit with 1 if a file's score reaches it")
     clean = commands.add_parser("clean", help="write a sanitized copy")
     clean.add_argument("source")
@@ -29,25 +30,25 @@ def main(args: list[str] | None = None) -> int:
     from pyspark.sql import SparkSession
 
     from veilwright.operators import report
-    from veilwright.operators.detect import catalog_frame
+    from veilwright.operators.detect import detector_catalog
     from veilwright.operators.sanitize import new_salt
     from veilwright.sources import readers
 
     spark = SparkSession.builder.getOrCreate()
     load = lambda path: readers.load_rules(spark.read.text(path, wholetext=True).first()[0])
     if given.command == "detectors":
-        catalog_frame(spark).orderBy("type").show(200, False)
+        detector_catalog(spark).show(200, False)
     elif given.command == "rules":
         found, errors = load(given.file)
         print(f"{len(found)} rules", *errors, sep="\n")
         return int(bool(errors))
     elif given.command == "clean":
         write = readers.clean_csv if readers.extension_of(given.source) == "csv" else readers.clean_text
-        write(spark, given.source, given.target, given.mode, given.salt or new_salt(), given.regions)
+        print(write(spark, given.source, given.target, given.mode, given.salt or new_salt(), given.regions))
     else:
-        found = readers.scan(spark, given.path, given.regions, load(given.rules)[0] if given.rules else ())
-        made = report.scan_report(found, "label")
-        print({"json": report.to_json, "sarif": lambda r: report.to_sarif(r, given.path), "html": report.to_html}[given.format](made))
+        found = readers.scan(spark, given.path, given.regions, load(given.rules)[0] if given.rules else (), given.limit)
+        made = report.scan_report(found, "label", truncated=given.limit is not None and readers.over_limit(spark, given.path, given.limit))
+        print({"json": report.to_json, "sarif": lambda r: report.to_sarif(r, given.path), "html": report.to_html, "table": report.to_text}[given.format](made))
         if given.fail_at is not None:
             return int(not report.file_scores(found).filter(f"score >= {given.fail_at}").isEmpty())
     return 0

@@ -321,6 +321,30 @@ def catalog_frame(spark):
     return spark.createDataFrame(rows, "type string, region string, severity double, rank int, compliance array<string>, confidence double")
 
 
+def detector_catalog(spark):
+    """type, description, region, compliance, severity, confidence of all detectors, by type, as the service lists them.
+
+    The listed confidence of a type that a check confirms is the general one; catalog_frame() has each one's own.
+    """
+    listed = lambda d: (X.DESCRIPTIONS[d.type], d.confidence) if d.type in X.DESCRIPTIONS else (f"{d.type} (checksum-validated)", X.LISTED_CONFIDENCE)
+    rows = [(d.type, listed(d)[0], d.region, list(d.compliance), d.severity, listed(d)[1]) for d in sorted(CATALOG.values(), key=lambda d: d.type)]
+    return spark.createDataFrame(rows, "type string, description string, region string, compliance array<string>, severity double, confidence double")
+
+
+def register(spark) -> list[str]:
+    """Makes the detector and the checks functions of the session's SQL: detect_values(text) and is_valid_*(value)."""
+    from veilwright.functions.sqltext import lambda_text
+
+    clean = f"translate(coalesce(v, ''), '{OPEN}{SHUT}', '{SAFE}')"
+    made = {"detect_values": (f"array<{DETECTION}>", f"get(transform(array({clean}), {_detector(tuple(CATALOG), ())}), 0)")}
+    for name, f in vars(V).items():
+        if name.startswith("is_valid_") and name != "is_valid_btc":
+            made[name] = ("boolean", f"get(transform(array(v), {lambda_text(lambda x, f=f: f(x))}), 0)")
+    for name, (kind, body) in made.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(v STRING) RETURNS {kind} RETURN {body}")
+    return sorted(made)
+
+
 _JAVA_ONLY = re.compile(r"\(\?P")
 
 

@@ -50,15 +50,22 @@ def risk_score(counts: DataFrame, units: int | Column) -> DataFrame:
     return total.select(score.alias("score")).withColumn("level", risk_level(F.col("score")))
 
 
+def _weight(detections: str) -> Column:
+    """The severities of a row's detections, summed."""
+    known = F.create_map(*(F.lit(x) for d in CATALOG.values() for x in (d.type, d.severity)))
+    return F.aggregate(detections, F.lit(0.0), lambda a, d: a + F.coalesce(F.try_element_at(known, d["type"]), F.lit(1.0)))
+
+
+def _units(found: DataFrame) -> Column:
+    """The number of units of so many rows: the sum of `unit`, where there is one."""
+    return F.coalesce(F.sum("unit").cast("long"), F.lit(0).cast("long")) if "unit" in found.columns else F.count("*")
+
+
 def file_scores(found: DataFrame, file: str = "file", detections: str = "detections") -> DataFrame:
-    """file, units, count, score, level of each file, in one job for a whole folder."""
-    known = F.broadcast(catalog_frame(found.sparkSession).select("type", "severity"))
-    units = found.groupBy(file).agg(F.count("*").alias("units"))
-    hits = found.select(file, F.explode(detections).alias("d")).groupBy(file, F.col("d.type").alias("type")).agg(F.count("*").alias("n"))
-    sums = hits.join(known, "type", "left").groupBy(file).agg(F.sum("n").alias("count"), F.sum(F.col("n") * F.coalesce("severity", F.lit(1.0))).alias("total"))
-    score = F.least(F.lit(100), F.bround(F.coalesce("total", F.lit(0.0)) / F.greatest("units", F.lit(1)) * FACTOR).cast("int"))
-    out = units.join(sums, file, "left").select(file, "units", F.coalesce("count", F.lit(0)).cast("long").alias("count"), score.alias("score"))
-    return out.withColumn("level", risk_level(F.col("score")))
+    """file, units, count, score, level of each file, in one pass for a whole folder."""
+    sums = found.groupBy(file).agg(_units(found).alias("units"), F.sum(F.size(detections)).cast("long").alias("count"), F.sum(_weight(detections)).alias("_total"))
+    score = F.least(F.lit(100), F.bround(F.col("_total") / F.greatest("units", F.lit(1)) * FACTOR).cast("int"))
+    return sums.select(file, "units", "count", score.alias("score")).withColumn("level", risk_level(F.col("score")))
 
 
 def heatmap(found: DataFrame, label: str | Column, detections: str = "detections", keep_empty: bool = True) -> DataFrame:
@@ -86,22 +93,52 @@ def preview(found: DataFrame, text: str, number: str, clean: Column, limit: int
     return hit.select(F.col(number).alias("line"), (F.left(F.col(text), F.lit(width)) if raw else cut_).alias("raw"), cut_.alias("clean"), spans.alias("spans"))
 
 
-def scan_report(found: DataFrame, label: str) -> dict:
-    """A report of bounded size: totals, by type, by framework, risk, and the labels with most detections."""
-    counts = breakdown(found)
-    units = found.count()
-    by_type = {r["type"]: r["count"] for r in counts.orderBy(F.desc("count"), "type").collect()}
-    score = risk_score(counts, units).first()
-    heat = heatmap(found, label).orderBy(F.desc("count"), "label").limit(100).collect()
+TOP_LABELS = 100
+
+
+def scan_report(found: DataFrame, label: str, keep_empty: bool = True, by_place: bool = False, lines: list | None = None, truncated: bool = False) -> dict:
+    """A report of bounded size: totals, by type, by framework, risk, and the labels with most detections.
+
+    Detection runs once: counts by label and type are kept, and all else follows from them. Types
+    and labels with equal counts stand in the order in which they are first found, where `found` has
+    `at`. by_place: labels in that order alone. lines: rows of preview(), which are added.
+    """
+    at = F.col("at") if "at" in found.columns else F.monotonically_increasing_id()
+    unit = F.col("unit") if "unit" in found.columns else F.lit(1)
+    each = found.select(F.col(label).alias("label"), unit.alias("u"), at.alias("at"), F.posexplode_outer("detections").alias("i", "d"))
+    counted = each.groupBy("label", F.col("d.type").alias("type")).agg(F.count("d").alias("n"), F.sum(F.when(F.coalesce("i", F.lit(0)) == 0, F.col("u"))).alias("units"), F.min(F.struct("at", F.coalesce("i", F.lit(-1)).alias("i"))).alias("first")).persist()
+    try:
+        units = counted.agg(F.sum("units")).first()[0] or 0
+        by_type = counted.filter("type IS NOT NULL").groupBy("type").agg(F.sum("n").alias("count"), F.min("first").alias("first")).orderBy(F.desc("count"), "first", "type").collect()
+        labels = counted.filter("label IS NOT NULL").groupBy("label").agg(F.sum("n").alias("count"), F.min("first").alias("first"))
+        peak = labels.agg(F.max("count")).first()[0] or 0
+        order = [F.col("first"), F.col("label")] if by_place else [F.desc("count"), F.col("first"), F.col("label")]
+        shown = (labels if keep_empty else labels.filter("count > 0")).orderBy(*order).limit(TOP_LABELS)
+        heat = shown.select("label", "count", (F.bround(100.0 * F.col("count") / F.lit(max(1, peak)))).cast("int").alias("risk")).collect()
+    finally:
+        counted.unpersist()
+    counts = {r["type"]: r["count"] for r in by_type}
+    weight = sum(n * (CATALOG[t].severity if t in CATALOG else 1.0) for t, n in counts.items())
+    score = min(100, round(weight / max(1, units) * FACTOR))
     return {
         "units": units,
-        "detections": sum(by_type.values()),
-        "breakdown": by_type,
-        "compliance_summary": {r["framework"]: r["count"] for r in compliance_summary(counts).collect()},
-        "risk_score": score["score"],
-        "risk_level": score["level"],
+        "detections": sum(counts.values()),
+        "breakdown": counts,
+        "compliance_summary": {f: sum(n for t, n in counts.items() if t in CATALOG and f in CATALOG[t].compliance) for f in X.FRAMEWORKS},
+        "risk_score": score,
+        "risk_level": next((name for most, name in LEVELS if score < most), "CRITICAL"),
         "heatmap": [r.asDict() for r in heat],
-    }
+        "truncated": truncated,
+    } | ({"preview": [r.asDict(recursive=True) for r in lines]} if lines is not None else {})
+
+
+def to_text(report: dict) -> str:
+    """Tables for a terminal: types, the ten first labels, three preview lines."""
+    out = [f"risk {report['risk_score']}/100 {report['risk_level']}, {report['detections']} detections in {report['units']} units" + (" (truncated)" if report.get("truncated") else "")]
+    out += [f"{t:<24}{n:>10}  {', '.join(compliance_of(t))}" for t, n in report["breakdown"].items()]
+    out += [f"{str(h['label'])[:40]:<42}{h['count']:>10}{h['risk']:>5}%" for h in report["heatmap"][:10]]
+    out += [f"{p['line']:>6}  {p['clean']}" for p in report.get("preview", [])[:3]]
+    return "\n".join(out)
 
 
 def to_json(report: dict) -> str:
@@ -124,7 +161,8 @@ def to_html(report: dict, title: str = "Scan") -> str:
     row = lambda *cells: "<tr>" + "".join(f"<td>{escape(str(c))}</td>" for c in cells) + "</tr>"
     types = "".join(row(t, n, ", ".join(compliance_of(t))) for t, n in report["breakdown"].items())
     heat = "".join(row(h["label"], h["count"], h["risk"]) for h in report["heatmap"][:20])
-    return f"<!DOCTYPE html><meta charset=utf-8><title>{escape(title)}</title><h1>{escape(title)}</h1><p>Risk {report['risk_score']} ({report['risk_level']}), {report['detections']} detections in {report['units']} units</p><table>{types}</table><table>{heat}</table>"
+    shown = "".join(row(p["line"], p["clean"][:200]) for p in report.get("preview", [])[:8])
+    return f"<!DOCTYPE html><meta charset=utf-8><title>{escape(title)}</title><h1>{escape(title)}</h1><p>Risk {report['risk_score']} ({report['risk_level']}), {report['detections']} detections in {report['units']} units</p><table>{types}</table><table>{heat}</table><table>{shown}</table>"
 
 
 def context_score(text: Column, start: Column, end: Column, window: int = 40) -> Column:

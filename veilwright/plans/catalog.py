@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from veilwright.functions import fixed as X
 from veilwright.operators import anonymity, report, sanitize
-from veilwright.operators.detect import CATALOG, CustomRule, catalog_frame, detect
+from veilwright.operators.detect import CATALOG, CustomRule, catalog_frame, detect, detector_catalog
 from veilwright.plans import made, numbers
 from veilwright.sources.readers import cells, json_leaves
 
@@ -254,12 +254,15 @@ def _json(spark, sf_dir):
 
 @query("table_cells", "SELECT 'c_name' AS \"column\", count(*) AS n FROM customer WHERE c_name <> '' UNION ALL SELECT 'c_mktsegment', count(*) FROM customer WHERE c_mktsegment <> '' UNION ALL SELECT 'c_custkey', count(*) FROM customer")
 def _cells(spark, sf_dir):
-    return cells(read(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")).groupBy("column").agg(F.count("*").alias("n"))
+    return cells(read(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")).filter("column IS NOT NULL").groupBy("column").agg(F.count("*").alias("n"))
 
 
-@query("detector_catalog")
+_LISTED = ", ".join(f"('{t}', '{X.DESCRIPTIONS.get(t, t + ' (checksum-validated)')}', '{region}', '{f}', CAST({severity} AS DOUBLE), CAST({c if t in X.DESCRIPTIONS else X.LISTED_CONFIDENCE} AS DOUBLE))" for t, region, c, _, severity, f in X.DETECTORS)
+
+
+@query("detector_catalog", f"SELECT * FROM (VALUES {_LISTED}) AS d(type, description, region, compliance, severity, confidence)")
 def _catalog(spark, sf_dir):
-    return catalog_frame(spark).withColumn("compliance", F.array_join("compliance", "+"))
+    return detector_catalog(spark).withColumn("compliance", F.array_join("compliance", "+"))
 
 QUERIES |= numbers.QUERIES | made.QUERIES
 SQL |= numbers.SQL | made.SQL
