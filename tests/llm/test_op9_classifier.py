@@ -50,7 +50,8 @@ def test_context_vectors(spark):
         v = np.zeros(C.DIMENSIONS)
         for k in range(C.NONZERO):
             part = int(h) >> (20 + 12 * k)
-            v[part % C.DIMENSIONS] += 1 if (part >> 8) & 1 else -1
+            half = C.DIMENSIONS // C.NONZERO
+            v[part % half + k * half] += 1 if (part >> 8) & 1 else -1
         return v
 
     for t in texts:
@@ -71,3 +72,15 @@ def test_edges(spark):
     some = spark.createDataFrame([(1, 1), (1, None), (None, 1), (99, 0), (3, 1)], "doc_id long, quality int")
     assert len(C.score_quality(docs, some, keep=["doc_id"]).collect()) == 5
     assert C.score_quality(docs.filter("false"), none).count() == 0
+
+
+def test_clashing_columns_and_repeated_ids(spark):
+    """Any names pass through; of a labelled id with several texts always the same one is learned from."""
+    docs, labels = corpus(120)
+    names = ["_id", "_text", "_own", "vector", "a.b", "_y"]
+    rows = [(i, t, *(f"{n}{i}" for n in names)) for i, t in docs] + [(i, t + " again", *(f"{n}{i}" for n in names)) for i, t in docs[:40]]
+    frame, marks = spark.createDataFrame(rows, ["doc_id", "text", *names]), spark.createDataFrame(labels, "doc_id long, quality int")
+    got = C.score_quality(frame.repartition(5), marks).collect()
+    again = C.score_quality(frame.repartition(3), marks).collect()
+    assert all(r[n] == f"{n}{r.doc_id}" for r in got for n in names)
+    assert sorted((r.doc_id, r.text, r.score) for r in got) == sorted((r.doc_id, r.text, r.score) for r in again)

@@ -2,16 +2,19 @@
 
 Every token (a run of word characters or of signs, in lower case) has a sparse random index
 vector that follows from its hash. Over all documents, each token's neighbours' index vectors are
-summed into its context vector; tokens share `BUCKETS` rows by hash, so that the table's size is
-fixed. The sums are of whole numbers: the result doesn't depend on their order. A document is the
+summed into its context vector. Tokens share `BUCKETS` rows by hash, so that the table's size is
+fixed and it can be sent to all tasks: a row is the sum of the tokens that fall into it, the rare
+ones in the shade of the frequent. The sums are of whole numbers: the result doesn't depend on their order. A document is the
 mean and the spread of its tokens' unit vectors. A two-layer network learns the labels from at
 most about `max_train` labelled documents, chosen by hash, and a temperature fitted on a part kept
 from the training gives probabilities.
 
-Null and empty texts are a document without tokens, which is scored too. Rows are scored one by
-one; repeated rows get equal scores. Labels that are null or belong to no row are unused; of
-repeated labels of a document the greatest counts. With fewer than two kinds of labels every
-score is the labels' mean, or 0.5 without any.
+Null and empty texts are a document without tokens, which is scored too. Rows are scored one
+by one; repeated rows get equal scores, very long texts are pooled whole, and an empty table gives
+none. Labels that are null or belong to no row are unused; of repeated labels of a document the
+greatest counts, of several texts under a labelled id the one with the least vector is learned from.
+With fewer than two kinds of labels every score is the labels' mean, or 0.5 without any. Other
+columns pass through, whatever their names; those named as results are replaced.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilwright.llm._common import cut, table
+from veilwright.llm._common import cut, packed, table, unpacked
 
 BUCKETS = 1 << 14
 DIMENSIONS = 32
@@ -75,7 +78,8 @@ def _neighbours(sums, runs: list) -> None:
     at, weights = [], []
     for k in range(NONZERO):
         part = h >> np.uint64(20 + 12 * k)
-        dim = (part % np.uint64(DIMENSIONS)).astype(np.int64)
+        # each entry has dimensions of its own, so that none takes another back
+        dim = (part % np.uint64(DIMENSIONS // NONZERO)).astype(np.int64) + k * (DIMENSIONS // NONZERO)
         sign = ((part >> np.uint64(8)) & np.uint64(1)).astype(np.float64) * 2 - 1
         at += [rows[:-1] + dim[1:], rows[1:] + dim[:-1]]
         weights += [sign[1:] * inside, sign[:-1] * inside]
@@ -208,31 +212,30 @@ def held_out(doc_id: str = "doc_id"):
 
 def score_quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", max_train: int = MAX_TRAIN, threshold: float = THRESHOLD, keep: list[str] | None = None) -> DataFrame:
     """The columns `keep` (all, if None) of each row with held_out, score and predicted."""
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("held_out", "score", "predicted", "vector")]
-    base = docs.select(*keep, F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("held_out", "score", "predicted")]
+    base = docs.select(packed(docs, keep), F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
     rows = cut(pooled(base, "_text", word_vectors(docs, text)))
     known = labels.filter(F.col(label).isNotNull() & F.col(doc_id).isNotNull() & ~held_out(doc_id)).groupBy(F.col(doc_id).alias("_id")).agg(F.max(label).cast("double").alias("_y"))
     known = cut(known)
     share = min(1.0, max_train / max(1, known.count()))
     known = known.filter(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    found = known.join(rows.select("_id", "vector").dropDuplicates(["_id"]), "_id").toPandas().sort_values("_id")
+    found = known.join(rows.select("_id", "vector"), "_id").groupBy("_id", "_y").agg(F.min("vector").alias("vector")).toPandas().sort_values("_id")
     x = np.array(found["vector"].tolist(), np.float64).reshape(-1, FEATURES)
     shared = docs.sparkSession.sparkContext.broadcast(Network(x, found["_y"].to_numpy(np.float64)))
     import pyspark.sql.types as T
 
-    kept = [f for f in rows.schema.fields if f.name in keep]
-    schema = T.StructType([*kept, T.StructField("_id", rows.schema["_id"].dataType), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([rows.schema["_own"], T.StructField("_id", rows.schema["_id"].dataType), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         network = shared.value
         for batch in batches:
             v = batch.column(batch.schema.get_field_index("vector"))
             s = network.score(np.asarray(v.flatten(), np.float64).reshape(-1, FEATURES))
-            names = [*(f.name for f in kept), "_id"]
+            names = ["_own", "_id"]
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(n)) for n in names), pa.array(s)], names=[*names, "score"])
 
     scored = rows.mapInArrow(run, schema)
-    return scored.select(*keep, held_out("_id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return scored.select(*unpacked(keep), held_out("_id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
