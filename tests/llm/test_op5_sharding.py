@@ -46,3 +46,24 @@ def test_same_again(spark):
     one = {(r.doc_id, r.shard, r.slot) for r in S.balanced_shards(frame.repartition(2)).collect()}
     two = {(r.doc_id, r.shard, r.slot) for r in S.balanced_shards(frame.repartition(7)).collect()}
     assert one == two
+
+
+def test_propagation_keeps_links(spark):
+    """Cut links with and without rounds: a group of equal texts in k shards cuts k - 1 links of its star."""
+    frame = spark.createDataFrame([(i, f"text {i // 3}") for i in range(600)] + [(1000 + i, f"one {i}") for i in range(600)], "doc_id long, text string").repartition(4)
+
+    def cut_links(rounds):
+        held = defaultdict(set)
+        for r in S.balanced_shards(frame, rounds=rounds).collect():
+            if r.linked:
+                held[r.text_crc32].add(r.shard)
+        return sum(len(v) - 1 for v in held.values())
+
+    assert cut_links(0) > 300 and cut_links(S.ROUNDS) <= 10
+
+
+def test_clashing_columns_and_long_texts(spark):
+    frame = spark.createDataFrame([(i, "x" * (100_000 if i else 1), "a", "b", "c") for i in range(50)] + [(None, f"n{i}", "a", "b", "c") for i in range(50)], ["doc_id", "text", "id", "g", "shard"])
+    rows = [r.asDict() for r in S.balanced_shards(frame).collect()]
+    check(rows)
+    assert {r["size"] for r in rows if r["doc_id"]} == {100_008}

@@ -4,15 +4,17 @@ Documents with equal texts are linked. A group's links form a star around the gr
 that no pairs are made: in each round every group counts its documents in each shard, picks the
 shard with most of them that still takes some, and its other members, in cells of those that
 started in the same shard, want to move there. A shard takes at most its quota; where more want
-to come than fit, cells are taken by their hash. Groups of a quarter of a quota and more, which are
-few, fill one shard after another first. At the end the counts are made exact: shards over their quota hand documents on, those
+to come than fit, cells are taken by their hash. Groups of a quarter of a quota and more, of which
+there are four a shard at most, would find no shard with room for all of them: they fill one shard
+after another first, which cuts each of them least. At the end the counts are made exact: shards over their quota hand documents on, those
 without links first, to shards below it.
 
 The law is `rows`: counts differ by one at most. Ranks are sums over buckets of document hashes,
 each bucket ranked by itself, so that no task sorts a shard.
 
 Everything is DataFrame expressions. Null texts count as empty; null ids and repeated rows are
-rows like any other; an empty table gives none.
+rows like any other; very long texts count as they are; groups that want the same place are
+ordered by their hash; an empty table gives none. Other columns are left out.
 """
 
 from __future__ import annotations
@@ -89,7 +91,7 @@ def balanced_shards(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     placed = base.join(ended.select("g", "s0", "s"), ["g", "s0"], "left").select("id", "size", "crc", F.col("s").isNotNull().alias("linked"), F.coalesce("s", "s0").alias("s"))
     buckets = max(1, total // (shards * BUCKET_ROWS) + 1) * 8
     # a hash of its own: the one that chose the first shard would put a shard's rows into one bucket
-    spread = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(buckets))
+    spread = F.pmod(F.xxhash64("id", "crc", "size"), F.lit(buckets))
     order = ["id", "crc", "size"]
     # linked documents have the first ranks of a shard
     ranked = _ranked(placed, "s", F.when(F.col("linked"), spread).otherwise(spread + buckets), order, "r")
