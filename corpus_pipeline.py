@@ -55,12 +55,22 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on documents; what a stage returns is written in the shared folder and read again."""
+    """All stages on documents; what a stage returns is written in the shared folder and read again.
+
+    What a stage read is removed once its own rows are written; the last one's when the driver ends.
+    """
     docs = table(spark, sf_dir, "documents")
     folder = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    path = lambda name: spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+    files = path("").getFileSystem(spark._jsc.hadoopConfiguration())
+    files.deleteOnExit(path(""))
+    before = None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            files.delete(path(before), True)
+        before = name
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
