@@ -58,6 +58,21 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["breakdown_all_types"] = flagship
 
+#: SQL of what the nine types find that the invented documents hold, cards without separators; of the others none has a candidate in them.
+_PHONE = r"[+]1 [(]([0-9]{3})[)] 555-[0-9]{4}"
+_LICENSE = r"(?i)\b(?:driver\x27?s?(?:\s+licen[sc]e)?|licen[sc]e|dl)(?:\s*(?:no\.?|number|#))?\s*[:#\-]?\s*[\x27\x22]?([A-Za-z0-9][A-Za-z0-9\- ]{4,19})"
+#: Of the ISO 3166-1 codes those that words in capitals of the documents hold at the fifth place.
+_COUNTRIES = "AD AE AU BE BL CH DO EH ER ET GA GE GT HN IN IO IT LY ME NA NC NE PA RE RO RS SA SC SE SR TH TR US".split()
+_BY_TYPE = f"""
+    SELECT doc_id, type FROM ({HITS})
+    UNION ALL SELECT doc_id, CASE WHEN area[1] = '5' THEN 'TR_PHONE' WHEN area[1] > '1' AND area[2:] <> '11' THEN 'US_PHONE' ELSE 'INTL_PHONE' END FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{_PHONE}', 1)) AS area FROM documents)
+    UNION ALL SELECT doc_id, 'CREDIT_CARD' FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '[^0-9]+')) AS v FROM documents) WHERE length(v) BETWEEN 13 AND 19 AND len(list_distinct(string_split(v, ''))) > 1 AND {numbers.luhn('v')}
+    UNION ALL SELECT doc_id, 'SWIFT_BIC' FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '[^A-Z0-9]+')) AS v FROM documents) WHERE regexp_full_match(v, '[A-Z]{{6}}[A-Z0-9]{{5}}') AND substr(v, 5, 2) IN ({', '.join(repr(c) for c in _COUNTRIES)})
+    UNION ALL SELECT doc_id, 'DRIVERS_LICENSE' FROM (SELECT doc_id, regexp_replace(rtrim(v, ' ' || chr(39) || chr(34)), '( [^ 0-9]*)+$', '') AS v FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{_LICENSE}', 1)) AS v FROM documents))
+      WHERE regexp_matches(v, '[A-Za-z]') AND regexp_matches(v, '[0-9]') AND length(regexp_replace(v, '[ -]', '', 'g')) BETWEEN 5 AND 20"""
+_KNOWN = ", ".join(f"('{t}', '{region}', CAST({severity} AS DOUBLE), '{f}')" for t, region, _, _, severity, f in X.DETECTORS)
+SQL["breakdown_all_types"] = f"SELECT d.type, count(*) AS count, region, severity, compliance FROM ({_BY_TYPE}) AS f JOIN (VALUES {_KNOWN}) AS d(type, region, severity, compliance) ON d.type = f.type GROUP BY ALL"
+
 
 @query("detect_values", f"SELECT doc_id, type, value, count(*) AS n FROM ({HITS}) GROUP BY ALL")
 def _detect_values(spark, sf_dir):
@@ -122,6 +137,37 @@ def _heat_segments(spark, sf_dir):
     return report.heatmap(lined, "segment")
 
 
+@query(
+    "file_scores",
+    f"""SELECT file, units, count, score, CASE WHEN score < 25 THEN 'LOW' WHEN score < 50 THEN 'MODERATE' WHEN score < 75 THEN 'HIGH' ELSE 'CRITICAL' END AS level
+    FROM (SELECT u.file, units, coalesce(n, 0) AS count, CAST(least(100, round_even(coalesce(weight, 0) / units * 20, 0)) AS INTEGER) AS score
+      FROM (SELECT source AS file, count(*) AS units FROM documents GROUP BY source) AS u LEFT JOIN (SELECT source AS file, count(*) AS n, sum({_SEVERITY}) AS weight FROM ({HITS}) GROUP BY source) AS h ON h.file = u.file)""",
+)
+def _file_scores(spark, sf_dir):
+    return report.file_scores(found_in_documents(spark, sf_dir, SIMPLE), "source").withColumnRenamed("source", "file")
+
+
+@query("preview", f"SELECT doc_id AS line, left(regexp_replace(text, '{_EMAIL}', '[REDACTED]', 'g'), 400) AS clean, left(text, 400) AS raw FROM documents WHERE regexp_matches(text, '{_EMAIL}') ORDER BY doc_id LIMIT 8")
+def _preview(spark, sf_dir):
+    found = found_in_documents(spark, sf_dir, ["EMAIL"])
+    return report.preview(found, "text", "doc_id", sanitize.redact_text(F.col("text"), F.col("detections")), raw=True).drop("spans")
+
+
+@query("compliance_of_types", "SELECT o_orderkey, kind, CASE kind WHEN 'EMAIL' THEN 'GDPR+CCPA' WHEN 'TR_VKN' THEN 'KVKK' WHEN 'US_MBI' THEN 'HIPAA' ELSE '' END AS frameworks FROM (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'EMAIL' WHEN 1 THEN 'TR_VKN' WHEN 2 THEN 'US_MBI' ELSE 'OTHER' END AS kind FROM orders)")
+def _compliance_of(spark, sf_dir):
+    kind = F.expr("CASE o_orderkey % 4 WHEN 0 THEN 'EMAIL' WHEN 1 THEN 'TR_VKN' WHEN 2 THEN 'US_MBI' ELSE 'OTHER' END")
+    tags = F.create_map(*(F.lit(x) for t in CATALOG for x in (t, "+".join(report.compliance_of(t)))))
+    return read(spark, sf_dir, "orders").select("o_orderkey", kind.alias("kind")).withColumn("frameworks", F.coalesce(F.try_element_at(tags, F.col("kind")), F.lit("")))
+
+
+@query("context_score", "SELECT o_orderkey, CAST(CASE o_orderkey % 4 WHEN 0 THEN 1.0 WHEN 1 THEN 0.9 WHEN 2 THEN 0.6 ELSE 0 END AS DOUBLE) AS score, o_orderkey % 4 <> 3 AS passes FROM orders")
+def _context(spark, sf_dir):
+    text = F.concat(F.expr("CASE o_orderkey % 4 WHEN 0 THEN 'the imei and bank no ' WHEN 1 THEN 'Passport number ' WHEN 2 THEN 'my DL: ' ELSE 'only words here ' END"), F.lit("1234567"), F.lit(" " * 60 + "imei"))
+    made = read(spark, sf_dir, "orders").select("o_orderkey", text.alias("t")).withColumn("at", F.instr("t", "1234567") - 1)
+    place = (F.col("t"), F.col("at"), F.col("at") + 7)
+    return made.select("o_orderkey", report.context_score(*place).alias("score"), report.passes_context(*place).alias("passes"))
+
+
 @query("custom_rule", "SELECT doc_id, unnest(regexp_extract_all(text, '(License, version [0-9])', 1)) AS value FROM documents")
 def _custom(spark, sf_dir):
     rule = CustomRule("LICENSE_LINE", "License, version [0-9]", 0.8)
@@ -187,6 +233,11 @@ def _pseudonyms(spark, sf_dir):
     return read(spark, sf_dir, "customer").select("c_custkey", sanitize.pseudonymize(F.col("c_name"), "EMAIL", SALT).alias("token"))
 
 
+@query("pseudonym_map", f"SELECT value, type, CASE type WHEN 'EMAIL' THEN 'USER' WHEN 'IPV4' THEN 'IP' ELSE 'KEY' END || '_' || left({_HMAC.replace('c_name', 'value')}, 8) AS token FROM (SELECT value, min(type) AS type FROM ({HITS}) GROUP BY value)")
+def _pseudonym_map(spark, sf_dir):
+    return sanitize.pseudonym_map(found_in_documents(spark, sf_dir, SIMPLE), SALT)
+
+
 @query("vault_tokens", f"SELECT c_custkey, 'ID_' || left({_HMAC}, 12) AS token FROM customer")
 def _tokens(spark, sf_dir):
     return read(spark, sf_dir, "customer").select("c_custkey", sanitize.vault_token(F.col("c_name"), "US_SSN", SALT).alias("token"))
@@ -252,6 +303,14 @@ def _json(spark, sf_dir):
     return json_leaves(read(spark, sf_dir, "events"), "props").groupBy("path", "text").agg(F.count("*").alias("n"))
 
 
+@query("json_nested", "SELECT o_orderkey, 'a.b' AS path, 'x' || o_orderkey AS text FROM orders UNION ALL SELECT o_orderkey, 'l.k', CAST(o_orderkey AS VARCHAR) FROM orders UNION ALL SELECT o_orderkey, 'l.m.n', 'deep' FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_orderkey, NULL, 'no json ' || o_orderkey FROM orders WHERE o_orderkey % 5 = 0")
+def _json_nested(spark, sf_dir):
+    keys = read(spark, sf_dir, "orders").select("o_orderkey")
+    text = F.format_string('{"a": {"b": "x%d"}, "l": ["no leaf", {"k": %d, "m": %s}], "t": true, "u": null}', "o_orderkey", "o_orderkey", F.expr("""CASE WHEN o_orderkey % 2 = 0 THEN '[[{"n": "deep"}]]' ELSE '[]' END"""))
+    bad = keys.filter("o_orderkey % 5 = 0").select("o_orderkey", F.format_string("no json %d", "o_orderkey").alias("t"))
+    return json_leaves(keys.select("o_orderkey", text.alias("t")).unionByName(bad), "t", ["o_orderkey"])
+
+
 @query("table_cells", "SELECT 'c_name' AS \"column\", count(*) AS n FROM customer WHERE c_name <> '' UNION ALL SELECT 'c_mktsegment', count(*) FROM customer WHERE c_mktsegment <> '' UNION ALL SELECT 'c_custkey', count(*) FROM customer")
 def _cells(spark, sf_dir):
     return cells(read(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")).filter("column IS NOT NULL").groupBy("column").agg(F.count("*").alias("n"))
