@@ -229,7 +229,7 @@ KR_WEIGHTS = (2, 3, 4, 5, 6, 7, 8, 9, 2, 3, 4, 5)
 SG_WEIGHTS = (2, 7, 6, 5, 4, 3, 2)
 SG_LETTERS = {"ST": "JZIHGFEDCBA", "FG": "XWUTRQPNMLK"}
 TH_WEIGHTS = (13, 12, 11, 10, 9, 8, 7, 6, 5, 4, 3, 2)
-TW_LETTERS = "ABCDEFGHJKLMNPQRSTUVWXYZIO"
+TW_LETTERS = {"A": 10, "B": 11, "C": 12, "D": 13, "E": 14, "F": 15, "G": 16, "H": 17, "I": 34, "J": 18, "K": 19, "L": 20, "M": 21, "N": 22, "O": 35, "P": 23, "Q": 24, "R": 25, "S": 26, "T": 27, "U": 28, "V": 29, "W": 30, "X": 31, "Y": 32, "Z": 33}
 TW_WEIGHTS = (8, 7, 6, 5, 4, 3, 2, 1)
 JP_WEIGHTS = (6, 5, 4, 3, 2, 7, 6, 5, 4, 3, 2)
 VIN_LETTERS = {"A": 1, "B": 2, "C": 3, "D": 4, "E": 5, "F": 6, "G": 7, "H": 8, "J": 1, "K": 2, "L": 3, "M": 4, "N": 5, "P": 7, "R": 9, "S": 2, "T": 3, "U": 4, "V": 5, "W": 6, "X": 7, "Y": 8, "Z": 9}
@@ -238,9 +238,8 @@ TFN_WEIGHTS = (1, 4, 3, 7, 5, 8, 6, 9, 10)
 ES_LETTERS = "TRWAGMYFPDXBNJZSQVHLCKE"
 HETU_LETTERS = "0123456789ABCDEFHJKLMNPRSTUVWXY"
 FISCAL_MONTHS = "ABCDEHLMPRST"
-#: Odd places' values of 0-9 and, the same, A-J; then K-Z.
-FISCAL_ODD = (1, 0, 5, 7, 9, 13, 15, 17, 19, 21)
-FISCAL_ODD_REST = (2, 4, 18, 20, 11, 3, 6, 8, 12, 14, 16, 10, 22, 25, 24, 23)
+#: Values of the characters at odd places.
+FISCAL_ODD = {"0": 1, "1": 0, "2": 5, "3": 7, "4": 9, "5": 13, "6": 15, "7": 17, "8": 19, "9": 21, "A": 1, "B": 0, "C": 5, "D": 7, "E": 9, "F": 13, "G": 15, "H": 17, "I": 19, "J": 21, "K": 2, "L": 4, "M": 18, "N": 20, "O": 11, "P": 3, "Q": 6, "R": 8, "S": 12, "T": 14, "U": 16, "V": 10, "W": 22, "X": 25, "Y": 24, "Z": 23}
 NINO_NEVER = ("BG", "GB", "KN", "NK", "NT", "TN", "ZZ")
 PAN_HOLDERS = "CPHFATBLJG"
 MRZ_WEIGHTS = (7, 3, 1)
@@ -254,8 +253,28 @@ IBAN_LENGTHS = {
     "CH": 21, "TL": 19, "TN": 24, "TR": 26, "UA": 29, "UG": 28, "GB": 22, "DZ": 26, "AO": 25, "BF": 28, "BJ": 28, "CM": 27, "CV": 25, "IR": 22, "MG": 27, "ML": 28, "MZ": 25, "SN": 28,
 }
 #: Rows of the Verhoeff multiplication and permutation tables.
-VERHOEFF_D = ("0123456789", "1234067895", "2340178956", "3401289567", "4012395678", "5987604321", "6598710432", "7659821043", "8765932104", "9876543210")
-VERHOEFF_P = ("0123456789", "1576283094", "5803796142", "8916043725", "9453126870", "4286573901", "2793806415", "7046913258")
+VERHOEFF_D = (
+    (0, 1, 2, 3, 4, 5, 6, 7, 8, 9),
+    (1, 2, 3, 4, 0, 6, 7, 8, 9, 5),
+    (2, 3, 4, 0, 1, 7, 8, 9, 5, 6),
+    (3, 4, 0, 1, 2, 8, 9, 5, 6, 7),
+    (4, 0, 1, 2, 3, 9, 5, 6, 7, 8),
+    (5, 9, 8, 7, 6, 0, 4, 3, 2, 1),
+    (6, 5, 9, 8, 7, 1, 0, 4, 3, 2),
+    (7, 6, 5, 9, 8, 2, 1, 0, 4, 3),
+    (8, 7, 6, 5, 9, 3, 2, 1, 0, 4),
+    (9, 8, 7, 6, 5, 4, 3, 2, 1, 0),
+)
+VERHOEFF_P = (
+    (0, 1, 2, 3, 4, 5, 6, 7, 8, 9),
+    (1, 5, 7, 6, 2, 8, 3, 0, 9, 4),
+    (5, 8, 0, 3, 7, 9, 6, 1, 4, 2),
+    (8, 9, 1, 6, 0, 4, 3, 7, 2, 5),
+    (9, 4, 5, 3, 1, 2, 6, 8, 7, 0),
+    (4, 2, 8, 6, 5, 7, 3, 9, 0, 1),
+    (2, 7, 9, 3, 8, 0, 6, 4, 1, 5),
+    (7, 0, 4, 6, 9, 1, 3, 2, 5, 8),
+)
 #: Weights of words near a value.
 CONTEXT_WORDS = {
     "imei": 1.0, "passport": 0.9, "visa": 0.5, "mrz": 1.0, "driver": 0.8, "license": 0.7, "dl": 0.6, "licence": 0.7, "policy": 0.7, "member": 0.6, "patient": 0.7, "medicare": 0.9, "medicaid": 0.9, "health": 0.5, "insurance": 0.6,
@@ -264,42 +283,42 @@ CONTEXT_WORDS = {
 
 #: Surrogates' prefixes; PII_ for all others.
 PREFIXES = {
-    "BANK": "IN_IFSC US_ABA",
-    "CARD": "CREDIT_CARD",
-    "CONN_STR": "DATABASE_URL",
-    "DEVICE": "IMEI",
-    "GEO": "COORDINATES",
-    "HEALTH_ID": "US_DEA US_MBI US_NPI HEALTH_INSURANCE_ID",
-    "IBAN": "IBAN",
-    "ID": "TR_NATIONAL_ID PL_PESEL US_SSN ES_NIE ES_NIF GB_NINO FR_NIR IT_FISCAL BR_CPF DE_IDNR NL_BSN BE_NATIONAL_ID FI_HETU SE_PERSONNUMMER NO_FODSELSNUMMER RO_CNP CN_ID KR_RRN SG_NRIC IL_ID ZA_ID TH_ID TW_ID HK_ID JP_MY_NUMBER CA_SIN IN_AADHAAR",
-    "IP": "IPV4 IPV6",
-    "KEY": "AWS_API_KEY GITHUB_TOKEN STRIPE_KEY OPENAI_KEY GOOGLE_API_KEY AZURE_KEY PRIVATE_KEY TELEGRAM_TOKEN ANTHROPIC_KEY HF_TOKEN GITLAB_TOKEN NPM_TOKEN PYPI_TOKEN TWILIO_KEY SENDGRID_KEY GENERIC_API_KEY",
-    "LICENSE": "DRIVERS_LICENSE",
-    "MAC": "MAC_ADDRESS",
-    "PASSPORT": "PASSPORT",
-    "PHONE": "TR_PHONE US_PHONE INTL_PHONE",
-    "SECURITY": "ISIN SEDOL",
-    "SWIFT": "SWIFT_BIC",
-    "TAX_ID": "PT_NIF GR_AFM US_ITIN AU_ABN TR_VKN DE_TAX_ID IN_PAN AU_TFN",
-    "TOKEN": "JWT",
-    "URL": "SLACK_WEBHOOK DISCORD_WEBHOOK",
-    "USER": "EMAIL",
-    "VEHICLE": "VIN",
-    "WALLET": "BTC_ADDRESS ETH_ADDRESS",
-}
+    "BANK": ("IN_IFSC", "US_ABA"),
+    "CARD": ("CREDIT_CARD",),
+    "CONN_STR": ("DATABASE_URL",),
+    "DEVICE": ("IMEI",),
+    "GEO": ("COORDINATES",),
+    "HEALTH_ID": ("US_DEA", "US_MBI", "US_NPI", "HEALTH_INSURANCE_ID"),
+    "IBAN": ("IBAN",),
+    "ID": ("TR_NATIONAL_ID", "PL_PESEL", "US_SSN", "ES_NIE", "ES_NIF", "GB_NINO", "FR_NIR", "IT_FISCAL", "BR_CPF", "DE_IDNR", "NL_BSN", "BE_NATIONAL_ID", "FI_HETU", "SE_PERSONNUMMER", "NO_FODSELSNUMMER", "RO_CNP", "CN_ID", "KR_RRN", "SG_NRIC", "IL_ID", "ZA_ID", "TH_ID", "TW_ID", "HK_ID", "JP_MY_NUMBER", "CA_SIN", "IN_AADHAAR"),
+    "IP": ("IPV4", "IPV6"),
+    "KEY": ("AWS_API_KEY", "GITHUB_TOKEN", "STRIPE_KEY", "OPENAI_KEY", "GOOGLE_API_KEY", "AZURE_KEY", "PRIVATE_KEY", "TELEGRAM_TOKEN", "ANTHROPIC_KEY", "HF_TOKEN", "GITLAB_TOKEN", "NPM_TOKEN", "PYPI_TOKEN", "TWILIO_KEY", "SENDGRID_KEY", "GENERIC_API_KEY"),
+    "LICENSE": ("DRIVERS_LICENSE",),
+    "MAC": ("MAC_ADDRESS",),
+    "PASSPORT": ("PASSPORT",),
+    "PHONE": ("TR_PHONE", "US_PHONE", "INTL_PHONE"),
+    "SECURITY": ("ISIN", "SEDOL"),
+    "SWIFT": ("SWIFT_BIC",),
+    "TAX_ID": ("PT_NIF", "GR_AFM", "US_ITIN", "AU_ABN", "TR_VKN", "DE_TAX_ID", "IN_PAN", "AU_TFN"),
+    "TOKEN": ("JWT",),
+    "URL": ("SLACK_WEBHOOK", "DISCORD_WEBHOOK"),
+    "USER": ("EMAIL",),
+    "VEHICLE": ("VIN",),
+    "WALLET": ("BTC_ADDRESS", "ETH_ADDRESS"),
+}
 
 #: How each type is masked; `generic` for all others.
 MASKS = {
-    "api_key": "AWS_API_KEY GENERIC_API_KEY",
-    "credit_card": "CREDIT_CARD US_ABA",
-    "email": "EMAIL",
-    "generic_id": "IN_IFSC GB_NINO FR_NIR IT_FISCAL BR_CPF DE_IDNR NL_BSN BE_NATIONAL_ID FI_HETU SE_PERSONNUMMER NO_FODSELSNUMMER PT_NIF RO_CNP GR_AFM US_ITIN ISIN SEDOL AU_ABN CN_ID KR_RRN SG_NRIC IL_ID ZA_ID TH_ID TW_ID HK_ID JP_MY_NUMBER IMEI VIN US_DEA US_MBI TR_VKN DE_TAX_ID IN_PAN AU_TFN CA_SIN IN_AADHAAR US_NPI SWIFT_BIC PASSPORT",
-    "geo": "COORDINATES",
-    "ip": "IPV4 IPV6",
-    "jwt": "JWT",
-    "mac": "MAC_ADDRESS",
-    "phone": "TR_PHONE US_PHONE INTL_PHONE",
-    "secret": "GITHUB_TOKEN STRIPE_KEY OPENAI_KEY GOOGLE_API_KEY AZURE_KEY PRIVATE_KEY TELEGRAM_TOKEN ANTHROPIC_KEY HF_TOKEN GITLAB_TOKEN NPM_TOKEN PYPI_TOKEN TWILIO_KEY SENDGRID_KEY BTC_ADDRESS ETH_ADDRESS",
-    "tr_national_id": "TR_NATIONAL_ID",
-    "url_secret": "SLACK_WEBHOOK DATABASE_URL DISCORD_WEBHOOK",
-}
+    "api_key": ("AWS_API_KEY", "GENERIC_API_KEY"),
+    "credit_card": ("CREDIT_CARD", "US_ABA"),
+    "email": ("EMAIL",),
+    "generic_id": ("IN_IFSC", "GB_NINO", "FR_NIR", "IT_FISCAL", "BR_CPF", "DE_IDNR", "NL_BSN", "BE_NATIONAL_ID", "FI_HETU", "SE_PERSONNUMMER", "NO_FODSELSNUMMER", "PT_NIF", "RO_CNP", "GR_AFM", "US_ITIN", "ISIN", "SEDOL", "AU_ABN", "CN_ID", "KR_RRN", "SG_NRIC", "IL_ID", "ZA_ID", "TH_ID", "TW_ID", "HK_ID", "JP_MY_NUMBER", "IMEI", "VIN", "US_DEA", "US_MBI", "TR_VKN", "DE_TAX_ID", "IN_PAN", "AU_TFN", "CA_SIN", "IN_AADHAAR", "US_NPI", "SWIFT_BIC", "PASSPORT"),
+    "geo": ("COORDINATES",),
+    "ip": ("IPV4", "IPV6"),
+    "jwt": ("JWT",),
+    "mac": ("MAC_ADDRESS",),
+    "phone": ("TR_PHONE", "US_PHONE", "INTL_PHONE"),
+    "secret": ("GITHUB_TOKEN", "STRIPE_KEY", "OPENAI_KEY", "GOOGLE_API_KEY", "AZURE_KEY", "PRIVATE_KEY", "TELEGRAM_TOKEN", "ANTHROPIC_KEY", "HF_TOKEN", "GITLAB_TOKEN", "NPM_TOKEN", "PYPI_TOKEN", "TWILIO_KEY", "SENDGRID_KEY", "BTC_ADDRESS", "ETH_ADDRESS"),
+    "tr_national_id": ("TR_NATIONAL_ID",),
+    "url_secret": ("SLACK_WEBHOOK", "DATABASE_URL", "DISCORD_WEBHOOK"),
+}

@@ -129,7 +129,7 @@ def is_valid_nir(v: Sql) -> Sql:
 
 @on_columns
 def is_valid_fiscal(v: Sql) -> Sql:
-    odd = constants((*X.FISCAL_ODD, *X.FISCAL_ODD, *X.FISCAL_ODD_REST))
+    odd = constants(list(X.FISCAL_ODD.values()))
 
     def check(x: Sql) -> Sql:
         day = number(x, 9, 2)
@@ -294,7 +294,7 @@ def is_valid_th_id(v: Sql) -> Sql:
 @on_columns
 def is_valid_tw_id(v: Sql) -> Sql:
     def check(x: Sql) -> Sql:
-        code = F.instr(F.lit(X.TW_LETTERS), F.left(x, F.lit(1))) + 9
+        code = F.instr("".join(sorted(X.TW_LETTERS, key=X.TW_LETTERS.get)), F.left(x, 1)) + 9
         total = F.floor(code / 10).cast("int") + code % 10 * 9 + weighted(x, X.TW_WEIGHTS, 1)
         return (10 - total % 10) % 10 == digit(x, 9)
 
@@ -479,7 +479,7 @@ def is_valid_sin(v: Sql) -> Sql:
 
 @on_columns
 def is_valid_aadhaar(v: Sql) -> Sql:
-    table = lambda rows: F.expr("array(" + ", ".join("array(" + ", ".join(row) + ")" for row in rows) + ")")
+    table = lambda rows: F.expr("array(" + ", ".join("array(" + ", ".join(map(str, row)) + ")" for row in rows) + ")")
     d_table, p_table = table(X.VERHOEFF_D), table(X.VERHOEFF_P)
 
     def check(d: Sql) -> Sql:

@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from veilwright.functions import fixed as X
 
 MODES = ("mask", "redact", "hash", "pseudonymize", "vault", "fpe", "noise")
-MASK_OF = {t: m for m, ts in X.MASKS.items() for t in ts.split()}
-PREFIX_OF = {t: p for p, ts in X.PREFIXES.items() for t in ts.split()}
+MASK_OF = {t: m for m, ts in X.MASKS.items() for t in ts}
+PREFIX_OF = {t: p for p, ts in X.PREFIXES.items() for t in ts}
 BLOCK = 64
 #: Bytes of a block of the stream of fpe().
 STREAM_BLOCK = 32

@@ -114,11 +114,11 @@ def token(*parts, check: str = "true", **sides) -> Recipe:
 
 
 _CN = f"'{X.CN_LETTERS}'[CAST({w(X.CN_WEIGHTS)} % 11 + 1 AS INTEGER)] = v[18]"
-_FISCAL = (*X.FISCAL_ODD, *X.FISCAL_ODD, *X.FISCAL_ODD_REST)
-_FISCAL_SUM = f"list_sum(list_transform(range(1, 16), lambda i: CASE WHEN i % 2 = 1 THEN {list(_FISCAL)}[{letters_as_numbers('v[i]')} + 1] ELSE {letters_as_numbers('v[i]')} - CASE WHEN v[i] > '9' THEN 10 ELSE 0 END END))"
+_FISCAL = list(X.FISCAL_ODD.values())
+_FISCAL_SUM = f"list_sum(list_transform(range(1, 16), lambda i: CASE WHEN i % 2 = 1 THEN {_FISCAL}[{letters_as_numbers('v[i]')} + 1] ELSE {letters_as_numbers('v[i]')} - CASE WHEN v[i] > '9' THEN 10 ELSE 0 END END))"
 _SG_SUM = f"({w(X.SG_WEIGHTS, 1)} + CASE WHEN v[1] IN ('T', 'G') THEN 4 ELSE 0 END) % 11 + 1"
 _SG = f"(CASE WHEN v[1] IN ('S', 'T') THEN '{X.SG_LETTERS['ST']}'[CAST({_SG_SUM} AS INTEGER)] ELSE '{X.SG_LETTERS['FG']}'[CAST({_SG_SUM} AS INTEGER)] END) = v[9]"
-_TW_CODE = f"(instr('{X.TW_LETTERS}', v[1]) + 9)"
+_TW_CODE = f"(CASE v[1] {' '.join(f'WHEN {c!r} THEN {x}' for c, x in X.TW_LETTERS.items())} END)"
 _TW = f"(10 - ({_TW_CODE} // 10 + {_TW_CODE} % 10 * 9 + {w(X.TW_WEIGHTS, 1)}) % 10) % 10 = {g(9)}"
 _HK = f"(list_sum(list_transform(range(1, length(v)), lambda i: {letters_as_numbers('v[i]')} * (length(v) + 1 - i))) + CASE WHEN v[-1] = 'A' THEN 10 ELSE ascii(v[-1]) - 48 END) % 11 = 0"
 _VIN_DIGITS = f"translate(v, '{''.join(X.VIN_LETTERS)}', '{''.join(map(str, X.VIN_LETTERS.values()))}')"
@@ -199,7 +199,7 @@ RECIPES = {
     "IL_ID": Recipe((digits(8), one_of("", "1", "7")), N.NUMBERS["il_id"][2], clean=DIGITS_ONLY, **A_SIDES),
     "ZA_ID": number_of("za_id", D_SIDES, digits(2), one_of("02", "11"), one_of("05", "28", "30"), digits(4), one_of("0", "1", "2"), digits(2)),
     "TH_ID": number_of("th_id", D_SIDES),
-    "TW_ID": Recipe((chars(1, X.TW_LETTERS + "ab"), digits(9)), _TW, clean=UPPER_RAW, value="v", **A_SIDES),
+    "TW_ID": Recipe((chars(1, "".join(X.TW_LETTERS) + "ab"), digits(9)), _TW, clean=UPPER_RAW, value="v", **A_SIDES),
     "HK_ID": Recipe((one_of("A", "K", "AB", "z"), digits(6), one_of("(", ""), chars(1, "0123456789A"), one_of(")", "")), _HK, clean="upper(regexp_replace(raw, '[()]', '', 'g'))", value=UPPER_RAW, before=(("ref ", True), ("# ", True), ("7", False))),
     "JP_MY_NUMBER": number_of("jp_number", A_SIDES),
     "IMEI": Recipe((digits(15),), f"pre NOT LIKE '%model%' AND {N.NUMBERS['imei'][2]}", before=(("imei: ", True), ("IMEI no. ", True), ("imei#", True), ("model ", True))),

@@ -58,8 +58,8 @@ def iso_fold(size: int) -> str:
 
 
 _FOLD = iso_fold(10)
-_VERHOEFF_D = "[" + ", ".join("[" + ", ".join(r) + "]" for r in X.VERHOEFF_D) + "]"
-_VERHOEFF_P = "[" + ", ".join("[" + ", ".join(r) + "]" for r in X.VERHOEFF_P) + "]"
+_VERHOEFF_D = "[" + ", ".join("[" + ", ".join(map(str, r)) + "]" for r in X.VERHOEFF_D) + "]"
+_VERHOEFF_P = "[" + ", ".join("[" + ", ".join(map(str, r)) + "]" for r in X.VERHOEFF_P) + "]"
 _PESEL_MONTH = f"({number(2, 2)} % 20)"
 _PESEL_YEAR = f"([1900, 2000, 2100, 2200, 1800][{number(2, 2)} // 20 + 1] + {number(0, 2)})"
 _CNP_YEAR = f"(CASE WHEN {digit(0)} IN (3, 4, 9) THEN 1800 WHEN {digit(0)} IN (5, 6) THEN 2000 ELSE 1900 END + {number(1, 2)})"
