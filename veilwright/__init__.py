@@ -1,0 +1,35 @@
+"""A PySpark-native engine for personal data, secrets and training corpora."""
+
+from __future__ import annotations
+
+import os
+
+
+def ship(spark) -> bool:
+    """Sends this package to the workers of the session, once, where their path doesn't have it. Whether it was sent.
+
+    A package that is installed, or whose folder is in PYTHONPATH, is there already.
+    """
+    import sys
+    import tempfile
+    import zipfile
+
+    here = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(here)
+    known = {os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p}
+    sc = spark.sparkContext
+    if root in known or "site-packages" in here or getattr(sc, "_veilwright_sent", False):
+        return False
+    # the driver's own copy, which Spark hands to the executors
+    folder = tempfile.mkdtemp(prefix="veilwright-")
+    target = os.path.join(folder, "veilwright.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for base, _, names in os.walk(here):
+            for name in names:
+                if name.endswith(".py"):
+                    z.write(os.path.join(base, name), os.path.relpath(os.path.join(base, name), root))
+    path = list(sys.path)
+    sc.addPyFile(target)
+    sys.path[:] = path
+    sc._veilwright_sent = True
+    return True

@@ -1,7 +1,8 @@
 """A vault of reversible tokens: a Parquet table of token, ciphertext, type and time.
 
 Tokens are keyed hashes of the values, so that a value has one token everywhere. Ciphertexts are
-AES-GCM under the hash of a key given by the caller. Only tokens that the table lacks are added.
+AES-GCM under the hash of a key given by the caller. Only tokens that the table lacks are added; two
+writers at once may both add one, whose rows then stand for the same value.
 """
 
 from __future__ import annotations
@@ -42,6 +43,7 @@ class TokenVault:
 
     def detokenize(self, tokens: DataFrame, token: str = "token") -> DataFrame:
         """Adds `value`: null for an unknown token or under a wrong key."""
-        known = self.table().select(F.col("token").alias("_t"), "ciphertext").dropDuplicates(["_t"])
+        wanted = tokens.select(F.col(token).alias("token")).distinct()
+        known = self.table().join(wanted, "token", "left_semi").groupBy(F.col("token").alias("_t")).agg(F.min("ciphertext").alias("ciphertext"))
         plain = F.try_aes_decrypt(F.col("ciphertext"), _key(self.key), F.lit("GCM")).cast("string")
         return tokens.join(known, F.col(token) == F.col("_t"), "left").withColumn("value", plain).drop("_t", "ciphertext")
