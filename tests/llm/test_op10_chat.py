@@ -62,3 +62,16 @@ def test_rows(spark):
     assert C.read_back(got[None].formatted) == [("", "x")]
     assert C.read_back(got[2].formatted) == [("user", "a"), ("assistant", "### b")]
     assert C.format_conversations(frame.filter("false")).count() == 0
+
+
+def test_errors_of_kinds_are_the_templates():
+    for source in ("{{ 5|trim }}", "{{ 1 < 'a' }}", "{{ 1 + 'a' }}", "{{ 5 % 0 }}", "{{ x|length }}", "{{ 'a' in 5 }}"):
+        with pytest.raises(C.TemplateError):
+            C.Template(source).render(x=5)
+
+
+def test_very_long_conversation_and_clashing_names(spark):
+    rows = [(1, i, "user" if i % 2 == 0 else "assistant", "long " * 200 + str(i), "x") for i in range(2000)]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, formatted string").repartition(3)
+    got = C.format_conversations(frame).collect()
+    assert len(got) == 1 and len(C.read_back(got[0].formatted)) == 2000

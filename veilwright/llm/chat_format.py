@@ -91,11 +91,25 @@ def _tokens(code: str) -> list[tuple[str, object]]:
 
 # --- syntax tree ----------------------------------------------------------------------------
 
+def _fails_as_template(name: str, f):
+    """f, with an error of its arguments' kinds as one of the template."""
+
+    def checked(*values):
+        try:
+            return f(*values)
+        except (TypeError, AttributeError, ZeroDivisionError) as e:
+            raise TemplateError(f"{name}: {e}") from None
+
+    return checked
+
+
 FILTERS = {"trim": str.strip, "lower": str.lower, "upper": str.upper, "length": len, "escape": escape, "label": label}
 _BINARY = {
     "+": lambda a, b: a + b, "-": lambda a, b: a - b, "*": lambda a, b: _times(a, b), "%": lambda a, b: _modulo(a, b), "~": lambda a, b: _text(a) + _text(b),
     "==": lambda a, b: a == b, "!=": lambda a, b: a != b, "<": lambda a, b: a < b, ">": lambda a, b: a > b, "<=": lambda a, b: a <= b, ">=": lambda a, b: a >= b, "in": lambda a, b: a in b,
 }
+FILTERS = {name: _fails_as_template(name, f) for name, f in FILTERS.items()}
+_BINARY = {name: _fails_as_template(name, f) for name, f in _BINARY.items()}
 _LEVELS = [["==", "!=", "<", ">", "<=", ">=", "in"], ["+", "-", "~"], ["*", "%"]]
 
 
