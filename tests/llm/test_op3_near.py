@@ -75,3 +75,35 @@ def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 102), (102, 101), (7, 7)]
     got = {r.node: r.root for r in N.components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 102: 100}
+
+
+def test_large_group_around_a_center(spark):
+    """Many variants of one text with edits in common, near and beyond the threshold: no link is lost."""
+    rng = random.Random(6)
+    base = [f"b{i}" for i in range(80)]
+    edits = [(rng.randrange(80), f"e{i}") for i in range(40)]
+    rows = [(i, " ".join(base)) for i in range(5)]
+    for i in range(5, 400):
+        text = list(base)
+        for at, word in rng.sample(edits, rng.choice([1, 2, 2, 3, 3, 4, 5])):
+            text[at] = rng.choice([word, word, "", word + f"x{rng.randint(0, 3)}"])
+        rows.append((i, " ".join(w for w in text if w)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = {r.doc_id: (r.doc_id, r.n_shingles, r.component_id) for r in N.near_duplicates(frame).collect()}
+    assert [got[d] for d, _ in rows] == brute(rows, 5)
+    assert len({c for _, _, c in got.values()}) > 20
+
+
+def test_clashing_columns(spark):
+    names = ["_text", "_id", "_own", "set_id", "check", "low", "_gone", "sketch", "n_shingles", "a.b"]
+    text = " ".join(f"w{i}" for i in range(30))
+    frame = spark.createDataFrame([(i, text + (" more" if i == 1 else ""), *(f"{n}{i}" for n in names)) for i in range(3)] + [(9, "quite another", *names)], ["doc_id", "text", *names])
+    got = N.drop_near_duplicates(frame).collect()
+    assert sorted(r.doc_id for r in got) == [0, 9] and all(r[n] == (n if r.doc_id == 9 else f"{n}0") for r in got for n in names)
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(3)
+    words = [str(rng.randint(0, 5000)) for _ in range(60_000)]
+    frame = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[:-50])), (3, " ".join(words[::-1]))], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in N.near_duplicates(frame).collect()} == {1: 1, 2: 1, 3: 3}

@@ -72,3 +72,27 @@ def test_remembered_elements_are_bounded():
 def test_formulas_stay_in_the_article():
     page = "<article><h1>Numbers of a kind</h1><p>Let <math><mi>x</mi></math> be a number that we all know. It is one of many.</p></article>"
     assert "Let x be a number" in H.main_text(page, H.trained())
+
+
+def test_articles_of_the_small_pages():
+    """On the pages of the small tables the text is that of the article element, cut at block tags, where it holds no other part."""
+    import html
+    import os
+    import re
+
+    import pandas as pd
+
+    path = "/root/testdata/sf0.01/pages.parquet"
+    if not os.path.exists(path):
+        return
+    field, compared, same = H.trained(), 0, 0
+    for page in pd.read_parquet(path).html:
+        found = re.findall(r"<article[^>]*>(.*?)</article>", page or "", re.S)
+        if len(found) != 1 or re.search(r"<(nav|aside|form|script|style|section|div|header|footer|ul)\b", found[0]):
+            continue
+        inside = re.sub(r"<!--.*?-->", "", found[0], flags=re.S)
+        parts = re.split(r"</?(?:p|h[1-6]|blockquote|pre|li|ol|table|tr|td|th|figure|figcaption|tbody)\b[^>]*>", inside)
+        plain = [" ".join(html.unescape(re.sub(r"<[^>]*>", lambda m: " " if m[0].startswith("<br") else "", x)).split()) for x in parts]
+        compared += 1
+        same += H.main_text(page, field) == "\n\n".join(x for x in plain if x)
+    assert compared > 50 and same >= 0.99 * compared, (same, compared)
