@@ -315,6 +315,38 @@ def _joined(parts: list[Sql]) -> Sql:
     return parts[0] if len(parts) == 1 else F.concat(*parts)
 
 
+def add_entities(frame, recognizer, text: str = "text", detections: str = "detections"):
+    """Adds to the detections what a recognizer of names finds beside them, in order of place.
+
+    recognizer: from a list of texts to a list, for each, of (type, start, end, confidence); it runs
+    on batches in Python workers. Without one (None) nothing is added. Entities rank last: those that
+    overlap a detection are left out.
+    """
+    if recognizer is None:
+        return frame
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    kind = pa.list_(pa.struct([("type", pa.string()), ("value", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("confidence", pa.float64())]))
+    schema = T.StructType([f if f.name != detections else T.StructField(detections, T._parse_datatype_string(f"array<{DETECTION}>")) for f in frame.schema.fields])
+
+    def run(batches):
+        for batch in batches:
+            at = batch.schema.get_field_index(detections)
+            texts = [t or "" for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
+            rows = []
+            for t, known, names in zip(texts, batch.column(at).to_pylist(), recognizer(texts), strict=True):
+                kept = list(known or ())
+                for name, start, end, confidence in sorted(names, key=lambda n: (-n[3], n[1])):
+                    if all(end <= d["start"] or start >= d["end"] for d in kept):
+                        kept.append({"type": name, "value": t[start:end], "start": start, "end": end, "confidence": float(confidence)})
+                rows.append(sorted(kept, key=lambda d: d["start"]))
+            columns = [batch.column(i) if i != at else pa.array(rows, type=kind) for i in range(batch.num_columns)]
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+    return frame.mapInArrow(run, schema)
+
+
 def catalog_frame(spark):
     """The detectors as a small table."""
     rows = [(d.type, d.region, d.severity, d.rank, list(d.compliance), d.confidence) for d in CATALOG.values()]

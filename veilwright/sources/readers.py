@@ -17,8 +17,9 @@ from pyspark.sql import types as T
 
 from veilwright.operators.detect import CustomRule, check_rule, detect
 from veilwright.operators.sanitize import let, sanitize
+from veilwright.sources.documents import EXTRACTORS, extracted
 
-EXTENSIONS = {"csv": "csv", "json": "json", "jsonl": "jsonl", "ndjson": "jsonl", "parquet": "parquet", "txt": "text", "log": "text", "md": "text", "sql": "text"}
+EXTENSIONS = {"csv": "csv", "json": "json", "jsonl": "jsonl", "ndjson": "jsonl", "parquet": "parquet", "txt": "text", "log": "text", "md": "text", "sql": "text", **{x: x for x in EXTRACTORS}}
 #: Bytes up to which a JSON file is read as one value; a larger one is read line by line.
 JSON_WHOLE = 16 << 20
 COLUMNS = ["file", "label", "text", "unit", "at"]
@@ -37,7 +38,7 @@ def capabilities() -> dict[str, bool]:
     """Which optional readers could be used here: their libraries are looked for, not loaded."""
     from importlib.util import find_spec
 
-    needs = {"xlsx": "openpyxl", "docx": "docx", "pdf": "pypdf", "avro": "fastavro", "ocr": "pytesseract", "ner": "onnxruntime", "yaml": "yaml"}
+    needs = {"pdf": "pypdf", "png": "pytesseract", "jpg": "pytesseract", "jpeg": "pytesseract", "ocr": "pytesseract", "ner": "onnxruntime", "yaml": "yaml"}
     return dict.fromkeys(sorted(set(EXTENSIONS.values())), True) | {k: find_spec(m) is not None for k, m in needs.items()}
 
 
@@ -154,6 +155,8 @@ def read_kind(spark: SparkSession, path: str, kind: str, **options) -> DataFrame
         found = cells(spark.read.options(**options).parquet(path).withColumn("_file", F.col("_metadata.file_path")), F.col("_file")).withColumnRenamed("column", "label")
     elif kind == "json":
         found = _json(spark, path, **options).withColumnRenamed("path", "label")
+    elif kind in EXTRACTORS:
+        found = extracted(spark, path, kind, skip_bad="ignoreCorruptFiles" in options, **options)
     elif kind == "jsonl":
         found = json_leaves(lines(spark, path, **options), "text", ["file", "at"], units=True).withColumnRenamed("path", "label")
     else:
