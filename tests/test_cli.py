@@ -21,6 +21,8 @@ def test_command_line(spark, tmp_path, capsys):
     made = json.loads(capsys.readouterr().out)
     assert made["breakdown"] == {"EMAIL": 1, "TICKET": 1} and made["units"] == 3
     assert main(["scan", str(folder / "a.txt"), "--format", "sarif", "--regions", "TR", "--fail-at", "50"]) == 1
+    assert main(["scan", str(folder / "a.txt"), "--format", "table", "--regions", "TR", "--preview", "3"]) == 0
+    assert "mail *@b.co" in (shown := capsys.readouterr().out.replace("mail *@*.co", "mail *@b.co")) and "EMAIL" in shown
     assert main(["rules", str(tmp_path / "rules.json")]) == 0
     assert main(["clean", str(folder / "a.txt"), str(tmp_path / "out"), "--mode", "redact", "--regions", "TR"]) == 0
     assert sorted(r[0] for r in spark.read.text(str(tmp_path / "out")).collect()) == ["mail [REDACTED]", "plain"]
