@@ -5,8 +5,8 @@ group of language and source the location and the covariance of a vector of tran
 statistics are estimated by minimum covariance determinant. The estimate starts from medians and
 quartile ranges, from the covariances of spatial signs and of squashed scores, and from small
 subsets drawn by hash. A concentration step takes the mean and covariance of exactly the
-`coverage` share of vectors nearest to the present estimate. After two steps from each start the
-two estimates of least determinant go on until no determinant falls any more, and the lesser is
+`coverage` share of vectors nearest to the present estimate. After a step from each start the two
+estimates of least determinant go on until no determinant falls any more (by one percent), and the lesser is
 the group's. Equal texts of a group count once, so that copies of one text do not stand for it.
 
 The covariance is scaled to what it would be of all vectors if these were normal, and is mixed
@@ -29,7 +29,7 @@ from __future__ import annotations
 
 import string
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veilwright.llm._common import BLANK_CLASS, BLANKS, UPPER, cut, packed, strip_blanks, table, unpacked
@@ -49,9 +49,9 @@ PRIOR_ROWS = P + 1.0
 NUMERIC = 1e-9
 #: Subsets drawn by hash, and about how many vectors each has.
 SUBSETS, SUBSET_ROWS = 4, 10 * P
-FIRST_STEPS, BEST, MOST_STEPS = 2, 2, 60
+BEST, MOST_STEPS = 2, 60
 #: A fall of the determinant's logarithm below which an estimate has settled.
-SETTLED = 1e-3
+SETTLED = 1e-2
 #: Bins of a distance in each doubling, and bins of a statistic in each unit.
 BINS, FINE = 64, 256
 SYMBOLS = "#*$%&|<>"
@@ -245,19 +245,19 @@ def estimates(rows: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     whole = _quartiles(rows, ()).first()
     prior = [float(whole[f"s{i}"]) if whole and whole[f"s{i}"] is not None else 0.0 for i in range(P)]
     now = cut(_starts(rows, cut(_join(_quartiles(rows, GROUP), means)), prior))
-    for _ in range(FIRST_STEPS):
-        now = cut(_step(rows, now, coverage, prior))
+    now = cut(_step(rows, now, coverage, prior))
     best = F.row_number().over(Window.partitionBy(*GROUP).orderBy("logdet", "_start"))
-    now = cut(now.withColumn("_rank", best).filter(F.col("_rank") <= BEST).drop("_rank"))
+    now = cut(_step(rows, now.withColumn("_rank", best).filter(F.col("_rank") <= BEST).drop("_rank"), coverage, prior))
     for _ in range(MOST_STEPS):
         after = _step(rows, now, coverage, prior)
         fields = [*MEANS, *(f"w{i}_{j}" for i, j in PAIRS), "logdet", *NOISE]
         one = lambda frame, name: frame.select(*GROUP, F.col("_start").alias(f"_{name}"), F.struct(*fields).alias(name))
         both = _join(one(now, "old"), one(after, "new")).filter("_old = _new")
         fell = F.col("old.logdet") - F.col("new.logdet")
-        both = cut(both.select(*GROUP, F.col("_old").alias("_start"), F.when(fell > 0, F.col("new")).otherwise(F.col("old")).alias("won"), fell.alias("_fell")))
+        seen = Observation()
+        both = cut(both.select(*GROUP, F.col("_old").alias("_start"), F.when(fell > 0, F.col("new")).otherwise(F.col("old")).alias("won"), fell.alias("_fell")).observe(seen, F.max("_fell").alias("most")))
         now = both.select(*GROUP, "_start", "won.*")
-        most = both.agg(F.max("_fell")).first()[0]
+        most = seen.get["most"]
         if most is None or most < SETTLED:
             break
     least = F.row_number().over(Window.partitionBy(*GROUP).orderBy("logdet", "_start"))
