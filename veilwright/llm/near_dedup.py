@@ -1,21 +1,28 @@
 """Near-duplicate documents by bottom-k sketches of one hash function.
 
 A document's set is its distinct shingles of `words` words (a shorter text is one shingle), each
-a 64-bit hash. Documents with the same set are one class, so that copies cost nothing further.
-Of each class the `K` smallest hashes are its sketch.
+a 64-bit hash. Documents with the same set are one class, so that copies cost nothing further: sets
+are told apart by 128 bits, and their 64-bit ids by a new hash where two meet. Of each class the
+`K` smallest hashes are its sketch.
 
 Candidates come from inverted lists of retained values. Two sets with Jaccard 0.8 share at least
 LEAST of K retained values (80 % of the set where the sketches are complete; otherwise fewer
 have a probability of 1e-8), so that it is enough to list each class under its rarest values,
 all but LEAST - 1 of them. A value that is frequent because a passage is repeated in many
 documents is listed only where little else is in the text. Each class is
-compared, on the full sets, with the class of most copies that leads one of its lists. Pairs that
-this leaves in different components follow as far as what they share with that one, and beyond
-it, allows a link. The sketch of the union of such a pair estimates its Jaccard and drops what is far below; the rest is
-decided on the full sets. Links become components by alternating large and small stars.
+compared, on the full sets, with one other: its center, the class of most copies that leads one of
+its lists. Classes near a center are known by how they differ from it. A pair that the centers leave
+in different components, and that is linked, shares a calculable part of these differences, so it
+meets under the rarest of them (prefix and position filters, which are exact bounds). Pairs far from
+their center, and of different centers, meet in the lists themselves. The sketch of the union
+of such pairs estimates their Jaccard and drops what is far below; the rest is decided on the full
+sets. Links become components by alternating large and small stars.
 
 Null and empty texts have no shingles and link with nothing. Repeated rows and null document
-ids are allowed: a component's id is its least id that is not null. An empty table gives none.
+ids are allowed: a component's id is its least id that is not null. Of classes with equally many
+copies the one of the greatest set id leads a list, of values in equally many lists the least is
+rarer: ties change no link. Very long texts are taken whole. An empty table gives none. Columns of
+any name pass through drop_near_duplicates(); near_duplicates() returns its own alone.
 """
 
 from __future__ import annotations
@@ -24,10 +31,10 @@ from collections.abc import Iterator
 from hashlib import blake2b
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veilwright.llm._common import cut, map_rows, release, table
+from veilwright.llm._common import cut, map_rows, packed, release, table, unpacked
 
 K = 64
 LEAST = 30
@@ -36,6 +43,8 @@ NEAR = 0.5
 #: Estimates this far below the threshold are never confirmed: over six standard deviations.
 MARGIN = 0.31
 SEEN_WORDS = 100_000
+#: Pairs of one center that are compared together: a center's text is sent so many times as it has lots of these.
+LOT = 256
 #: Classes up to which their ids are sent to all tasks to find their texts (16 bytes each).
 MAX_BROADCAST = 200_000
 #: Odd factors of the places in a shingle.
@@ -81,7 +90,7 @@ class Shingler:
 
 
 def sketched(docs: DataFrame, text: str, words: int) -> DataFrame:
-    """Replaces the text by set_id (of the whole set, null if empty), n_shingles and sketch."""
+    """Replaces the text by set_id and check (of the whole set, null if empty), n_shingles and sketch."""
 
     def make():
         shingle = Shingler(words)
@@ -90,14 +99,15 @@ def sketched(docs: DataFrame, text: str, words: int) -> DataFrame:
         def f(t):
             h = shingle(t)
             if not len(h):
-                return None, 0, []
+                return None, None, 0, []
             low = (h[:K] ^ np.uint64(1 << 63)).view(np.int64).tolist()
-            return int.from_bytes(blake2b(h.tobytes(), digest_size=8).digest(), "little", signed=True), len(h), low
+            digest = blake2b(h.tobytes(), digest_size=16).digest()
+            return *(int.from_bytes(x, "little", signed=True) for x in (digest[:8], digest[8:])), len(h), low
 
         return f
 
-    added = pa.schema([("set_id", pa.int64()), ("n_shingles", pa.int64()), ("sketch", pa.list_(pa.int64()))])
-    return map_rows(docs, [text], added, "set_id long, n_shingles long, sketch array<long>", make, drop=(text,))
+    added = pa.schema([("set_id", pa.int64()), ("check", pa.int64()), ("n_shingles", pa.int64()), ("sketch", pa.list_(pa.int64()))])
+    return map_rows(docs, [text], added, "set_id long, check long, n_shingles long, sketch array<long>", make, drop=(text,))
 
 
 def _needed(n: Column) -> Column:
@@ -125,15 +135,17 @@ def _estimate(a: str, b: str) -> Column:
 
 
 def _compared(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """For the pairs (a, b), from the full sets: shared (shingles of both), n_a, n_b, linked, and extra.
+    """For the pairs (a, b), from the full sets: shared (shingles of both), n_a, n_b, linked, and differs.
 
-    extra: the shingles of b that a lacks, where the Jaccard is NEAR or more; otherwise null.
+    differs: the shingles of only one of them, where the Jaccard is NEAR or more; otherwise null.
     texts: set_id, body.
     """
-    of = lambda k: texts.select(F.col("set_id").alias(k), F.col("body").alias(f"body_{k}"))
-    both = pairs.select("a", "b").join(of("b"), "b").join(of("a"), "a")
+    lots = pairs.groupBy("a").agg(F.ceil(F.count("*") / LOT).cast("int").alias("lots"))
+    dealt = pairs.select("a", "b").join(lots, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("lots")).cast("int").alias("lot"))
+    every = texts.join(lots, F.col("set_id") == F.col("a")).select("a", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot"), F.col("body").alias("body_a"))
+    both = dealt.join(texts.select(F.col("set_id").alias("b"), F.col("body").alias("body_b")), "b").join(every, ["a", "lot"])
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64())]
-    names = ["a", "b", "shared", "n_a", "n_b", "linked", "extra"]
+    names = ["a", "b", "shared", "n_a", "n_b", "linked", "differs"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(words)
@@ -146,52 +158,60 @@ def _compared(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
                 if x != last_id:
                     last_id, last = x, shingle(ta[i].as_py())
                 other = shingle(tb[i].as_py())
-                extra = np.setdiff1d(other, last, assume_unique=True)
-                shared = len(other) - len(extra)
-                union = len(last) + len(extra)
-                rows.append((x, y, shared, len(last), len(other), 100 * shared >= percent * union, extra.view(np.int64).tolist() if shared >= NEAR * union else None))
+                differs = np.setxor1d(other, last, assume_unique=True)
+                union = (len(last) + len(other) + len(differs)) // 2
+                shared = union - len(differs)
+                rows.append((x, y, shared, len(last), len(other), 100 * shared >= percent * union, differs.view(np.int64).tolist() if shared >= NEAR * union else None))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], type=t) for k, t in enumerate(kinds)], names=names)
         release()
 
-    return both.mapInArrow(run, "a long, b long, shared long, n_a long, n_b long, linked boolean, extra array<long>")
+    return both.mapInArrow(run, "a long, b long, shared long, n_a long, n_b long, linked boolean, differs array<long>")
 
 
 def _others(star: DataFrame, lists: DataFrame, centers: DataFrame, members: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of different components that may be linked although their centers joined them not.
 
-    Let b and c have the center a, and s be what each shares with a. Without a shingle in common
-    that a lacks, b and c share min(s_b, s_c) at most. So they are linked only if that is enough,
-    for which one must be smaller than a, or if they have such a shingle in common: those meet by
-    it. Pairs of which one is so far from a that this says little, but for those that the triangle
+    Sets b and c of sizes n_b and n_c are linked if they differ in t (n_b + n_c) shingles at most,
+    with t = (100 - percent) / (100 + percent). Near a center a, let d_b and d_c be the numbers of
+    shingles in which each differs from it, and o how many of these are common: b and c differ in
+    d_b + d_c - 2 o. So a link takes o >= (d_b + d_c - t (n_b + n_c)) / 2. Of a pair in different
+    components one, say b, is not linked with a, so that d_b > t (n_a + n_b). This gives for the other
+    o > (d_c + t (n_a - n_c)) / 2, and with o <= d_c and n_c <= n_a + d_c for b itself
+    o >= (d_b - t (n_a + n_b)) / (1 + t). Two sets with o common members meet among the rarest
+    d - o + 1 of each, in one order for all, and at places i and j of it with min(d_b - i, d_c - j) + 1 >= o.
+
+    Pairs of which one is so far from a that this says little, but for those that the triangle
     inequality of 1 - Jaccard parts, and pairs with different centers meet in the first list that
     both are in.
     """
     rooted = star.join(roots.select(F.col("node").alias("b"), "root"), "b", "left").withColumn("root", F.coalesce("root", "b"))
     rooted = cut(rooted.withColumn("jaccard", F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared"))))
     mixed = rooted.groupBy("a").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("a")
-    near = rooted.filter(F.col("extra").isNotNull()).join(mixed, "a")
-    # 100 |b and c| >= percent |b or c|, as a bound of what both share
-    enough = lambda most: (100 + percent) * most >= percent * (F.col("n1") + F.col("n2"))
+    t = (100 - percent) / (100 + percent)
     close = F.abs(F.col("j1") - F.col("j2")) <= 1 - percent / 100 + 1e-9
     apart = (F.col("r1") != F.col("r2")) & (100 * F.least("n1", "n2") >= percent * F.greatest("n1", "n2"))
 
-    def side(frame: DataFrame, k: int, *keys: str) -> DataFrame:
-        return frame.select(*keys, F.col("b").alias(f"b{k}"), F.col("n_b").alias(f"n{k}"), F.col("root").alias(f"r{k}"), F.col("jaccard").alias(f"j{k}"), F.col("shared").alias(f"s{k}"))
-
-    least = F.least("s1", "s2")
-    small = side(near.filter("NOT linked"), 1, "a").join(side(near.filter("n_b < n_a"), 2, "a"), "a").filter(apart & close & enough(least))
-    # of such shingles as many must be common as a link needs beyond the shared, so that the rarest, all but these, suffice
-    sizes = near.groupBy("a").agg(F.min("n_b").alias("n_least"))
-    must = F.ceil(percent * (F.col("n_b") + F.greatest("n_least", F.ceil(percent * F.col("n_b") / 100))) / (100 + percent) - 1e-6) - F.col("shared")
-    sized = near.join(sizes, "a").withColumn("must", F.greatest(must, F.lit(1)).cast("int"))
-    each = sized.select("a", "b", F.explode("extra").alias("value"))
+    d, n_a, n_b = F.size("differs"), F.col("n_a"), F.col("n_b")
+    at_least = lambda x: F.greatest(F.ceil(x - 1e-6), F.lit(1)).cast("int")
+    near = rooted.filter(F.col("differs").isNotNull()).join(mixed, "a").withColumns(
+        {"d": d, "most_any": d - at_least((d + t * (n_a - n_b)) / 2) + 1, "most_open": F.when(F.col("linked"), 0).otherwise(d - at_least((d - t * (n_a + n_b)) / (1 + t)) + 1)}
+    )
+    each = near.select("a", "b", F.explode("differs").alias("value"))
     several = each.groupBy("a", "value").agg(F.count("*").alias("df")).filter("df > 1")
     mine = each.join(several, ["a", "value"]).groupBy("a", "b").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("v"))
-    mine = mine.join(sized.drop("extra"), ["a", "b"])
-    room = F.size("v") - F.col("must") + 1
-    rare = mine.withColumn("value", F.explode(F.slice("v", 1, F.greatest(room, F.lit(0))))).withColumn("value", F.col("value.value"))
-    open_side, any_side = side(rare.filter("NOT linked"), 1, "a", "value"), side(rare, 2, "a", "value", "linked")
-    alike = open_side.join(any_side, ["a", "value"]).filter((F.col("linked") | (F.col("b1") < F.col("b2"))) & apart & close & enough(least + F.least(F.col("n1") - F.col("s1"), F.col("n2") - F.col("s2"))))
+    # shingles of no other class are the rarest and take the first places
+    mine = mine.join(near.drop("differs"), ["a", "b"]).withColumn("alone", F.col("d") - F.size("v"))
+
+    def side(k: int, most: str, *more: str) -> DataFrame:
+        rarest = F.slice("v", 1, F.greatest(F.col(most) - F.col("alone"), F.lit(0)))
+        names = {"b": "b", "n_b": "n", "root": "r", "jaccard": "j", "d": "d"}
+        rows = mine.select("a", *(F.col(c).alias(f"{x}{k}") for c, x in names.items()), *more, "alone", F.posexplode(rarest).alias("i", "x"))
+        return rows.withColumn("value", F.col("x.value")).withColumn(f"i{k}", F.col("i") + F.col("alone") + 1).drop("x", "i", "alone")
+
+    o = (F.col("d1") + F.col("d2") - t * (F.col("n1") + F.col("n2"))) / 2
+    fits = F.least(F.col("d1") - F.col("i1"), F.col("d2") - F.col("i2")) + 1 >= o - 1e-6
+    once = F.when(F.col("linked"), F.lit(True)).otherwise(F.col("b1") < F.col("b2"))
+    alike = side(1, "most_open").join(side(2, "most_any", "linked"), ["a", "value"]).filter((F.col("b1") != F.col("b2")) & once & apart & fits)
 
     known = centers.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     known = known.join(rooted.select(F.col("b").alias("set_id"), F.col("jaccard").alias("j")), "set_id", "left").withColumn("j", F.coalesce("j", F.lit(1.0)))
@@ -208,18 +228,18 @@ def _others(star: DataFrame, lists: DataFrame, centers: DataFrame, members: Data
 
     pair = lambda frame: frame.select(F.least("b1", "b2").alias("a"), F.greatest("b1", "b2").alias("b"))
     sketches = lambda k: members.select(F.col("set_id").alias(k), F.col("sketch").alias(f"s_{k}"))
-    guessed = pair(small.filter("b1 <> b2").select("b1", "b2").union(alike.select("b1", "b2"))).distinct().join(sketches("b"), "b").join(sketches("a"), "a")
+    guessed = pair(alike.select("b1", "b2")).distinct().join(sketches("b"), "b").join(sketches("a"), "a")
     return guessed.filter(likely("s_a", "s_b")).select("a", "b").union(pair(far)).distinct()
 
 
 def _texts(base: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """set_id, body: a text of each wanted class (set_id, least)."""
-    wanted = wanted.select(F.col("set_id").alias("_wanted"), F.col("least").alias("_least"))
+    """set_id, body: a text of each wanted class (set_id, low, check, least)."""
+    wanted = wanted.select(F.col("set_id").alias("_wanted"), "low", F.col("check").alias("_check"), F.col("least").alias("_least"))
     if wanted.count() <= MAX_BROADCAST:
         wanted = F.broadcast(wanted)
-    found = base.join(wanted, F.col("_id").eqNullSafe(F.col("_least")), "inner").select("_wanted", "_text", F.col("_text").alias("body"))
+    found = base.join(wanted, F.col("_id").eqNullSafe(F.col("_least")), "inner").select("_wanted", "low", "_check", "_text", F.col("_text").alias("body"))
     # an id may stand on rows of several texts
-    return sketched(found, "_text", words).filter("set_id = _wanted").select("set_id", "body").dropDuplicates(["set_id"])
+    return sketched(found, "_text", words).filter("set_id = low AND check = _check").select(F.col("_wanted").alias("set_id"), "body").dropDuplicates(["set_id"])
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -234,8 +254,9 @@ def components(links: DataFrame) -> DataFrame:
         # small star: what is below a node, and itself, go to the least of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").filter("u <> v").distinct()
-        edges = cut(small)
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        seen = Observation()
+        edges = cut(small.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")))
+        now = (seen.get["n"], seen.get["h"])
         if now == mark:
             break
         mark = now
@@ -251,12 +272,19 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     if percent < 80:
         raise ValueError("the candidates are complete for a similarity of 80 percent or more")
-    base = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
+    return _judged(docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")), words, percent).drop("low", "check").withColumnRenamed("_id", doc_id)
+
+
+def _judged(base: DataFrame, words: int, percent: int) -> DataFrame:
+    """_id, set_id, low and check (the set's digest), n_shingles, component_id, kept of rows (_id, _text)."""
     rows = cut(sketched(base, "_text", words))
-    sets = cut(rows.filter("set_id IS NOT NULL").groupBy("set_id").agg(F.min("_id").alias("least"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")))
+    sets = rows.filter("set_id IS NOT NULL").groupBy(F.col("set_id").alias("low"), "check").agg(F.min("_id").alias("least"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
+    # ids that are not unique are made from both halves of the digest
+    twice = F.count("*").over(Window.partitionBy("low")) > 1
+    sets = cut(sets.withColumn("set_id", F.when(twice, F.xxhash64("low", "check")).otherwise(F.col("low"))))
     lists = cut(_lists(sets))
     members = cut(lists.groupBy("set_id").agg(F.sort_array(F.collect_list("value")).alias("values")).join(sets, "set_id"))
-    texts = cut(_texts(base, members.select("set_id", "least"), words))
+    texts = cut(_texts(base, members.select("set_id", "low", "check", "least"), words))
     # the leader of a list has most copies; a class is compared with the leader of most copies, its center
     copies = lists.join(members.select("set_id", "copies"), "set_id")
     leader = copies.groupBy("value").agg(F.max(F.struct("copies", F.col("set_id").alias("id"))).alias("leader"), F.count("*").alias("m")).filter("m > 1")
@@ -270,24 +298,24 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         links = links.union(cut(_compared(more, texts, words, percent).filter("linked").select("a", "b")))
         roots = cut(components(links))
 
-    classes = sets.select("set_id", "least").join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+    classes = sets.select("set_id", "low", "check", "least").join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     ids = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = classes.join(ids, "root").select("set_id", "component_id")
-    out = rows.select("_id", "set_id", "n_shingles").join(named, "set_id", "left")
-    out = out.select("_id", "set_id", "n_shingles", F.when(F.col("set_id").isNull(), F.col("_id")).otherwise(F.col("component_id")).alias("component_id"))
-    return out.withColumn("kept", F.col("_id").eqNullSafe(F.col("component_id"))).withColumnRenamed("_id", doc_id)
+    named = classes.join(ids, "root").select("set_id", "low", "check", "component_id")
+    out = rows.select("_id", F.col("set_id").alias("low"), "check", "n_shingles").join(named, ["low", "check"], "left")
+    out = out.select("_id", "set_id", "low", "check", "n_shingles", F.when(F.col("low").isNull(), F.col("_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return out.withColumn("kept", F.col("_id").eqNullSafe(F.col("component_id")))
 
 
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """The rows, all columns, whose id is their component's: one document of each group, with its repeated rows."""
-    judged = cut(near_duplicates(docs, doc_id, text, words, percent).select(F.col(doc_id).alias("_gone"), F.col("set_id").alias("_set"), "kept"))
-    gone = judged.filter("NOT kept").select("_gone", "_set").distinct()
+    base = docs.select(packed(docs, docs.columns), F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
+    judged = cut(_judged(base.select("_id", "_text"), words, percent).select("_id", "low", "check", "kept"))
+    gone = judged.filter("NOT kept").select(F.col("_id").alias("_gone"), "low", F.col("check").alias("_check")).distinct()
     if gone.count() <= MAX_BROADCAST:
         gone = F.broadcast(gone)
-    columns = [F.col(c) for c in docs.columns]
     # an id may stand on rows of several texts, so a row is known by its set too
-    keyed = sketched(docs.withColumn("_text", F.col(text)), "_text", words)
-    return keyed.join(gone, F.col(doc_id).eqNullSafe(F.col("_gone")) & F.col("set_id").eqNullSafe(F.col("_set")), "left_anti").select(*columns)
+    same = F.col("_id").eqNullSafe(F.col("_gone")) & F.col("set_id").eqNullSafe(F.col("low")) & F.col("check").eqNullSafe(F.col("_check"))
+    return sketched(base, "_text", words).join(gone, same, "left_anti").select(*unpacked(docs.columns))
 
 
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
