@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import re
 import shutil
 import tempfile
+import time
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -15,6 +17,9 @@ from pyspark.sql import functions as F
 #: White space of the word and line rules: space, tab, line feed, vertical tab, form feed, return.
 BLANKS = " \t\n\x0b\f\r"
 BLANK_CLASS = r"[\x20\x09-\x0D]"
+#: Seconds between two collections of the driver's garbage.
+COLLECT = 2.0
+_collected = 0.0
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -40,9 +45,20 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(frame: DataFrame) -> DataFrame:
-    """The same rows, written to the shared checkpoint folder, so that nothing above is computed again."""
-    checkpoint_dir(frame.sparkSession)
-    return frame.checkpoint(eager=True)
+    """The same rows, written to the shared checkpoint folder, so that nothing above is computed again.
+
+    What was shuffled for them is not needed any more: a collection of the driver's garbage, at most
+    every COLLECT seconds, lets Spark's cleaner remove its files, and keeps finished plans from piling up.
+    """
+    global _collected
+    spark = frame.sparkSession
+    checkpoint_dir(spark)
+    done = frame.checkpoint(eager=True)
+    if time.monotonic() - _collected > COLLECT:
+        gc.collect()
+        spark._jvm.System.gc()
+        _collected = time.monotonic()
+    return done
 
 
 def packed(frame: DataFrame, columns: list[str], name: str = "_own") -> Column:
@@ -70,7 +86,6 @@ def strip_blanks(text: Column) -> Column:
 def release() -> None:
     """Gives memory back at a task's end: the worker process stays, idle, beside the next stage's."""
     import ctypes
-    import gc
 
     gc.collect()
     pa.default_memory_pool().release_unused()
