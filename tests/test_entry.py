@@ -34,3 +34,12 @@ def test_import_without_the_corpus_operators(tmp_path):
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=120)
     assert done.returncode == 0, done.stderr[-2000:]
+
+
+def test_blocked_modules():
+    """The folder may be missing in any way, a module inside it may not."""
+    code = "import sys; sys.modules[{!r}] = None; import __spark_entry__ as e; q = e.queries(); assert 'breakdown' in q and 'pipeline' not in q and not [n for n in q if n.startswith('op')]"
+    run = lambda name: subprocess.run([sys.executable, "-c", code.format(name)], cwd=ROOT, capture_output=True, text=True, timeout=120)
+    folder, inside = run("veilwright.llm"), run("veilwright.llm._common")
+    assert folder.returncode == 0, folder.stderr[-2000:]
+    assert inside.returncode and "ModuleNotFoundError" in inside.stderr
