@@ -3,6 +3,7 @@
 import random
 
 from veilwright.llm import near_dedup as N
+from veilwright.llm._common import cut_small
 
 
 def brute(rows, words, percent=80):
@@ -77,6 +78,34 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 102: 100}
 
 
+def test_components_by_driver_and_executors(spark, monkeypatch):
+    rng = random.Random(8)
+    links = [(rng.randint(-300, 300), rng.randint(-300, 300)) for _ in range(230)] + [(2**62, -(2**63)), (2**62, 2**63 - 1), (5, 5)]
+    frame = spark.createDataFrame(links, "a long, b long").repartition(7)
+    found = []
+    for most in (1000, 0):
+        monkeypatch.setattr(N, "MAX_COLLECTED", most)
+        rows = N.components(frame).collect()
+        found.append({r.node: r.root for r in rows})
+        assert len(rows) == len(found[-1])
+    assert found[0] == found[1] and len(set(found[0].values())) > 20
+    nodes = {x for a, b in links if a != b for x in (a, b)}
+    assert set(found[0]) == nodes and all(found[0][a] == found[0][b] <= min(a, b) for a, b in links if a != b)
+    for most in (1000, 0):
+        monkeypatch.setattr(N, "MAX_COLLECTED", most)
+        assert N.components(spark.createDataFrame([(3, 3)], "a long, b long")).count() == 0
+
+
+def test_few_rows_in_many_partitions(spark):
+    """Few rows cost few tasks, however many partitions they are dealt over; no row is lost, and many rows keep their tasks."""
+    few, n = cut_small(spark.range(500).repartition(64))
+    assert n == 500 and few.rdd.getNumPartitions() <= 16 and sorted(r.id for r in few.collect()) == list(range(500))
+    many, n = cut_small(spark.range(70_000).repartition(64))
+    assert n == 70_000 and many.rdd.getNumPartitions() == 64 and many.distinct().count() == n
+    none, n = cut_small(spark.range(0).repartition(64))
+    assert n == 0 and none.count() == 0
+
+
 def test_large_group_around_a_center(spark):
     """Many variants of one text with edits in common, near and beyond the threshold: no link is lost."""
     rng = random.Random(6)

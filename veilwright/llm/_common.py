@@ -11,7 +11,7 @@ import time
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: White space of the word and line rules: space, tab, line feed, vertical tab, form feed, return.
@@ -20,6 +20,8 @@ BLANK_CLASS = r"[\x20\x09-\x0D]"
 #: Seconds between two collections of the driver's garbage.
 COLLECT = 2.0
 _collected = 0.0
+#: Rows that a task reads at least of a frame that cut_small() wrote.
+ROWS_EACH = 1000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -61,6 +63,19 @@ def cut(frame: DataFrame) -> DataFrame:
     return done
 
 
+def cut_small(frame: DataFrame) -> tuple[DataFrame, int]:
+    """cut() for rows of no great size, and their number.
+
+    Where a frame has few rows in many partitions, a task reads several of them: else each later
+    exchange costs a task and files of its own for every one, however little is in it.
+    """
+    seen = Observation()
+    done = cut(frame.observe(seen, F.count(F.lit(1)).alias("n")))
+    n = seen.get["n"]
+    tasks = max(frame.sparkSession.sparkContext.defaultParallelism, -(-n // ROWS_EACH))
+    return done.coalesce(tasks) if 4 * tasks <= done.rdd.getNumPartitions() else done, n
+
+
 def packed(frame: DataFrame, columns: list[str], name: str = "_own") -> Column:
     """The columns in one struct, so that no name of theirs meets an operator's own."""
     return F.struct(*(F.col(quoted(c)).alias(c) for c in columns)).alias(name) if columns else F.lit(None).cast("int").alias(name)

@@ -16,7 +16,7 @@ in different components, and that is linked, shares a calculable part of these d
 meets under the rarest of them (prefix and position filters, which are exact bounds). Pairs far from
 their center, and of different centers, meet in the lists themselves. The sketch of the union
 of such pairs estimates their Jaccard and drops what is far below; the rest is decided on the full
-sets. Links become components by alternating large and small stars.
+sets. Links become components by alternating large and small stars, few links on the driver.
 
 Null and empty texts have no shingles and link with nothing. Repeated rows and null document
 ids are allowed: a component's id is its least id that is not null. Of classes with equally many
@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veilwright.llm._common import cut, map_rows, packed, release, table, unpacked
+from veilwright.llm._common import cut, cut_small, map_rows, packed, release, table, unpacked
 
 K = 64
 LEAST = 30
@@ -47,6 +47,8 @@ SEEN_WORDS = 100_000
 LOT = 256
 #: Classes up to which their ids are sent to all tasks to find their texts (16 bytes each).
 MAX_BROADCAST = 200_000
+#: Links up to which the driver joins them to components by itself (16 bytes each); more are joined by the executors.
+MAX_COLLECTED = 100_000
 #: Odd factors of the places in a shingle.
 FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)
 
@@ -185,7 +187,7 @@ def _others(star: DataFrame, lists: DataFrame, centers: DataFrame, members: Data
     both are in.
     """
     rooted = star.join(roots.select(F.col("node").alias("b"), "root"), "b", "left").withColumn("root", F.coalesce("root", "b"))
-    rooted = cut(rooted.withColumn("jaccard", F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared"))))
+    rooted, _ = cut_small(rooted.withColumn("jaccard", F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared"))))
     mixed = rooted.groupBy("a").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("a")
     t = (100 - percent) / (100 + percent)
     close = F.abs(F.col("j1") - F.col("j2")) <= 1 - percent / 100 + 1e-9
@@ -215,7 +217,7 @@ def _others(star: DataFrame, lists: DataFrame, centers: DataFrame, members: Data
 
     known = centers.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     known = known.join(rooted.select(F.col("b").alias("set_id"), F.col("jaccard").alias("j")), "set_id", "left").withColumn("j", F.coalesce("j", F.lit(1.0)))
-    held = cut(lists.join(known, "set_id"))
+    held, _ = cut_small(lists.join(known, "set_id"))
     span = held.groupBy("value").agg(F.min("root").alias("r_low"), F.max("root").alias("r_high"), F.min("center").alias("c_low"), F.max("center").alias("c_high"), F.min("j").alias("least"))
     open_ = span.filter((F.col("r_low") != F.col("r_high")) & ((F.col("c_low") != F.col("c_high")) | (F.col("least") < NEAR))).select("value")
     rows = held.join(open_, "value").join(members.select("set_id", F.col("n_shingles").alias("n"), "values", "sketch"), "set_id")
@@ -244,7 +246,32 @@ def _texts(base: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """node, root (the least node of its component) for all nodes of the links (a, b)."""
-    edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
+    edges, n = cut_small(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
+    return _joined(edges) if n <= MAX_COLLECTED else _starred(edges)
+
+
+def _joined(edges: DataFrame) -> DataFrame:
+    """components() of links (u, v) on the driver."""
+    above: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        top = x
+        while (up := above.setdefault(top, top)) != top:
+            top = up
+        while x != top:
+            above[x], x = top, above[x]
+        return top
+
+    rows = edges.toArrow()
+    for u, v in zip(rows["u"].to_pylist(), rows["v"].to_pylist(), strict=True):
+        low, high = sorted((find(u), find(v)))
+        above[high] = low
+    found = pa.table([pa.array(list(above), pa.int64()), pa.array([find(x) for x in list(above)], pa.int64())], names=["node", "root"])
+    return edges.sparkSession.createDataFrame(found)
+
+
+def _starred(edges: DataFrame) -> DataFrame:
+    """components() of links (u, v), u > v, by alternating large and small stars."""
     mark = None
     while True:
         # large star: what is above a node goes to the least of its neighbours and itself
@@ -277,26 +304,26 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 def _judged(base: DataFrame, words: int, percent: int) -> DataFrame:
     """_id, set_id, low and check (the set's digest), n_shingles, component_id, kept of rows (_id, _text)."""
-    rows = cut(sketched(base, "_text", words))
+    rows, _ = cut_small(sketched(base, "_text", words))
     sets = rows.filter("set_id IS NOT NULL").groupBy(F.col("set_id").alias("low"), "check").agg(F.min("_id").alias("least"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
     # ids that are not unique are made from both halves of the digest
     twice = F.count("*").over(Window.partitionBy("low")) > 1
-    sets = cut(sets.withColumn("set_id", F.when(twice, F.xxhash64("low", "check")).otherwise(F.col("low"))))
-    lists = cut(_lists(sets))
-    members = cut(lists.groupBy("set_id").agg(F.sort_array(F.collect_list("value")).alias("values")).join(sets, "set_id"))
+    sets, _ = cut_small(sets.withColumn("set_id", F.when(twice, F.xxhash64("low", "check")).otherwise(F.col("low"))))
+    lists, _ = cut_small(_lists(sets))
+    members, _ = cut_small(lists.groupBy("set_id").agg(F.sort_array(F.collect_list("value")).alias("values")).join(sets, "set_id"))
     texts = cut(_texts(base, members.select("set_id", "low", "check", "least"), words))
     # the leader of a list has most copies; a class is compared with the leader of most copies, its center
     copies = lists.join(members.select("set_id", "copies"), "set_id")
     leader = copies.groupBy("value").agg(F.max(F.struct("copies", F.col("set_id").alias("id"))).alias("leader"), F.count("*").alias("m")).filter("m > 1")
-    centers = cut(lists.join(leader, "value").groupBy("set_id").agg(F.max("leader").alias("leader")).select("set_id", F.col("leader.id").alias("center")))
+    centers, _ = cut_small(lists.join(leader, "value").groupBy("set_id").agg(F.max("leader").alias("leader")).select("set_id", F.col("leader.id").alias("center")))
     star = centers.filter("set_id <> center").select(F.col("center").alias("a"), F.col("set_id").alias("b"))
-    star = cut(_compared(star, texts, words, percent))
+    star, _ = cut_small(_compared(star, texts, words, percent))
     links = star.filter("linked").select("a", "b")
-    roots = cut(components(links))
-    more = cut(_others(star, lists, centers, members, roots, percent))
-    if not more.isEmpty():
+    roots, _ = cut_small(components(links))
+    more, n = cut_small(_others(star, lists, centers, members, roots, percent))
+    if n:
         links = links.union(cut(_compared(more, texts, words, percent).filter("linked").select("a", "b")))
-        roots = cut(components(links))
+        roots, _ = cut_small(components(links))
 
     classes = sets.select("set_id", "low", "check", "least").join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     ids = classes.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -309,7 +336,7 @@ def _judged(base: DataFrame, words: int, percent: int) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """The rows, all columns, whose id is their component's: one document of each group, with its repeated rows."""
     base = docs.select(packed(docs, docs.columns), F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
-    judged = cut(_judged(base.select("_id", "_text"), words, percent).select("_id", "low", "check", "kept"))
+    judged, _ = cut_small(_judged(base.select("_id", "_text"), words, percent).select("_id", "low", "check", "kept"))
     gone = judged.filter("NOT kept").select(F.col("_id").alias("_gone"), "low", F.col("check").alias("_check")).distinct()
     if gone.count() <= MAX_BROADCAST:
         gone = F.broadcast(gone)
