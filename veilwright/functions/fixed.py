@@ -122,7 +122,8 @@ LISTED_CONFIDENCE = 0.95
 REGIONS = ("ALL", "TR", "PL", "US", "ES", "EU", "GB", "FR", "DE", "IT", "BR", "IN", "AU", "CA", "CN", "KR", "SG", "IL", "ZA", "TH", "TW", "HK", "JP")
 FRAMEWORKS = ("GDPR", "KVKK", "CCPA", "LGPD", "HIPAA")
 
-#: Candidate patterns in Java's dialect. Where a pattern has groups (before)(value), the value is the second.
+#: Candidate patterns in Java's dialect. Where a pattern has groups (before)(value), the value is the second and the last:
+#: what a match takes after it would be left out of the places of the later ones.
 _OCTET = "(?:25[0-5]|2[0-4]\\d|1\\d\\d|[1-9]?\\d)"
 _HEX4 = "[0-9A-Fa-f]{1,4}"
 PATTERNS = {
@@ -155,7 +156,7 @@ PATTERNS = {
     "IN_IFSC": "(?<![A-Z0-9])[A-Z]{4}0[A-Z0-9]{6}(?![A-Z0-9])",
     "TR_NATIONAL_ID": r"(?<!\d)[1-9]\d{10}(?!\d)",
     "CREDIT_CARD": r"(?<!\d)(?:\d[\s\-]?){13,19}(?!\d)",
-    "GENERIC_API_KEY": r"((?iu:api[\-_]?key|secret|token|passwd|password|auth[\-_]?token)\s*[:=]\s*['\"]?)([A-Za-z0-9_\-.~+/=]{16,})['\"]?",
+    "GENERIC_API_KEY": r"((?iu:api[\-_]?key|secret|token|passwd|password|auth[\-_]?token)\s*[:=]\s*['\"]?)([A-Za-z0-9_\-.~+/=]{16,})",
     "PL_PESEL": r"(?<!\d)\d{11}(?!\d)",
     "US_SSN": r"(?<!\d)\d{3}[- ]\d{2}[- ]\d{4}(?!\d)",
     "ES_NIF": r"(?iu)(?<![A-Za-z0-9])\d{8}[A-Za-z](?![A-Za-z0-9])",
@@ -187,7 +188,7 @@ PATTERNS = {
     "TW_ID": r"(?iu)(?<![A-Za-z0-9])[A-Za-z]\d{9}(?![A-Za-z0-9])",
     "HK_ID": r"(?iu)(?<![A-Za-z0-9])[A-Za-z]{1,2}\d{6}\(?[0-9A]\)?(?![A-Za-z0-9])",
     "JP_MY_NUMBER": r"(?<![\dA-Za-z])\d{12}(?![\dA-Za-z])",
-    "IMEI": r"(\b(?iu:imei|international mobile equipment(?: identity)?)(?:\s*(?iu:no\.?|number|#))?\s*[:#\-]?\s*['\"]?)(\d{15})['\"]?",
+    "IMEI": r"(\b(?iu:imei|international mobile equipment(?: identity)?)(?:\s*(?iu:no\.?|number|#))?\s*[:#\-]?\s*['\"]?)(\d{15})",
     "VIN": "(?iu)(?<![A-Za-z0-9])[A-HJ-NPR-Z0-9]{17}(?![A-Za-z0-9])",
     "US_DEA": r"(?iu)(?<![A-Za-z0-9])[ABCDEFGHJKLMPRSTUX][A-Za-z]\d{7}(?![A-Za-z0-9])",
     "US_MBI": r"(?iu)(?<![A-Za-z0-9])(?:\d[A-Za-z][A-Za-z0-9]\d[A-Za-z][A-Za-z0-9]\d[A-Za-z][A-Za-z0-9]\d\d|\d[A-Za-z][A-Za-z0-9]\d-[A-Za-z][A-Za-z0-9]\d-[A-Za-z][A-Za-z0-9]\d\d)(?![A-Za-z0-9])",
@@ -203,8 +204,8 @@ PATTERNS = {
     "COORDINATES": r"(?<![\d.])[+-]?(?:[1-8]?\d\.\d+|90\.0+)\s*[,;]\s*[+-]?(?:(?:1[0-7]\d|[1-9]?\d)\.\d+|180\.0+)(?![\d.])",
     "SWIFT_BIC": "(?<![A-Z0-9])[A-Z]{4}[A-Z]{2}[A-Z0-9]{2}(?:[A-Z0-9]{3})?(?![A-Z0-9])",
     "PASSPORT": "(?md)^[A-Z0-9<]{44}$",
-    "DRIVERS_LICENSE": r"(\b(?iu:driver'?s?(?:\s+licen[sc]e)?|licen[sc]e|dl)(?:\s*(?iu:no\.?|number|#))?\s*[:#\-]?\s*['\"]?)((?iu:[A-Za-z0-9][A-Za-z0-9\- ]{4,19}))['\"]?",
-    "HEALTH_INSURANCE_ID": r"(\b(?iu:member|policy|subscriber|patient|medicare|medicaid|health|insurance|group|rx)(?:\s+(?iu:id|no\.?|number|#|card))?\s*[:#\-]?\s*['\"]?)((?iu:[A-Za-z0-9][A-Za-z0-9\- ]{5,19}))['\"]?",
+    "DRIVERS_LICENSE": r"(\b(?iu:driver'?s?(?:\s+licen[sc]e)?|licen[sc]e|dl)(?:\s*(?iu:no\.?|number|#))?\s*[:#\-]?\s*['\"]?)((?iu:[A-Za-z0-9][A-Za-z0-9\- ]{4,19}))",
+    "HEALTH_INSURANCE_ID": r"(\b(?iu:member|policy|subscriber|patient|medicare|medicaid|health|insurance|group|rx)(?:\s+(?iu:id|no\.?|number|#|card))?\s*[:#\-]?\s*['\"]?)((?iu:[A-Za-z0-9][A-Za-z0-9\- ]{5,19}))",
     "IBAN": "(?iu)(?<![A-Za-z0-9])[A-Za-z]{2}[0-9]{2}(?: ?[A-Za-z0-9]{4})+(?: ?[A-Za-z0-9]{1,3})?(?![A-Za-z0-9])",
 }
 
