@@ -18,7 +18,7 @@ def test_places_after_quotes(spark, kind, label, value):
     assert row.clean == text.replace(value, "[REDACTED]")
 
 
-@pytest.mark.parametrize("name", ["detect_values", "breakdown", "compliance_summary", "file_scores", "heatmap_lang", "heatmap_source"])
+@pytest.mark.parametrize("name", ["detect_values", "breakdown", "compliance_summary", "file_scores", "heatmap_lang", "heatmap_source", "breakdown_all_types"])
 def test_queries_with_many_quoted_keys(spark, tmp_path, name):
     """The keys' places moved by one a quote, until they overlapped the address before, which ranks higher."""
     import duckdb
